@@ -21,16 +21,15 @@ def snapshot_changes(rows: DataFrame, key: str, snapshot: str, loaded: str, row_
     the snapshot number alone says where a row belongs. The first snapshot has nothing before it and gives no rows, nor does
     the one after the last. Rows with a null key or snapshot number are left out. An empty table gives no rows.
     """
-    tagged = rows.where(F.col(key).isNotNull() & F.col(snapshot).isNotNull()).select(F.col(key).alias("key"), F.col(snapshot).cast("int").alias("n"), F.struct(F.col(loaded).alias("at"), row_hash.alias("h")).alias("state"))
-    ends = rows.agg(F.min(snapshot).alias("first"), F.max(snapshot).alias("last"))
-    # one group per key; per side of each pair the newest state: side 1 is the snapshot itself, side 0 the one before it
-    newest = tagged.groupBy("key", "n").agg(F.max("state").alias("state"))
-    per_key = newest.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("n", "state.h"))).alias("h"))
-    pairs = per_key.select("key", "h", F.explode(F.array_distinct(F.flatten(F.transform(F.map_keys("h"), lambda n: F.array(n, n + 1))))).alias("n"))
-    old, new = F.try_element_at("h", F.col("n") - 1), F.try_element_at("h", F.col("n"))
-    kind = F.when(old.isNull(), "added").when(new.isNull(), "removed").when(old != new, "changed")
-    bounds = ends.select(F.struct("first", "last").alias("b")).scalar()
-    return pairs.select(F.col("n").alias("snapshot_no"), "key", kind.alias("change_kind")).where(F.col("change_kind").isNotNull() & (F.col("n") > bounds["first"]) & (F.col("n") <= bounds["last"]))
+    state = F.struct(F.col(loaded).alias("at"), row_hash.alias("h"))
+    narrow = rows.where(F.col(key).isNotNull() & F.col(snapshot).isNotNull()).select(F.col(key).alias("key"), F.col(snapshot).cast("int").alias("n"), state.alias("state"))
+    # snapshot n is the new side of pair n and the old side of pair n + 1
+    sides = F.explode(F.array(F.struct(F.col("n").alias("pair"), F.lit(True).alias("new")), F.struct((F.col("n") + 1).alias("pair"), F.lit(False).alias("new"))))
+    tagged = narrow.select("key", "state", sides.alias("side")).select("key", "side.pair", F.when(F.col("side.new"), F.col("state")).alias("new"), F.when(~F.col("side.new"), F.col("state")).alias("old"))
+    bounds = narrow.agg(F.struct(F.min("n").alias("first"), F.max("n").alias("last"))).scalar()
+    both = tagged.groupBy("key", "pair").agg(F.max("new").alias("new"), F.max("old").alias("old")).where((F.col("pair") > bounds["first"]) & (F.col("pair") <= bounds["last"]))
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old.h") != F.col("new.h"), "changed")
+    return both.select(F.col("pair").alias("snapshot_no"), "key", kind.alias("change_kind")).where(F.col("change_kind").isNotNull())
 
 
 def annotation_hash() -> Column:

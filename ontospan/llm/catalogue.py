@@ -1,11 +1,22 @@
 """Queries of this subpackage, with their SQL where SQL can express them over whole tables."""
 
-from ontospan.llm import frequency, same_look
+from ontospan.llm import frequency, leaks, mixing, same_look, split, truncation
 
 QUERIES = {
     "p1_found": same_look.p1_found,
     "p1_forms": same_look.p1_forms,
     "p2_found": frequency.p2_found,
     "p2_terms": frequency.p2_terms,
+    "p5_found": split.p5_found,
+    "p5_pieces": split.p5_pieces,
+    "p7_found": leaks.p7_found,
+    "p7_items": leaks.p7_items,
+    "p7_clean": leaks.p7_clean,
+    "p8_mix": mixing.p8_mix,
+    "p8_shares": mixing.p8_shares,
+    "p9_found": truncation.p9_found,
+    "p9_rates": truncation.p9_rates,
+}
+SQL = {
+    "p5_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 650 AND chunk_id IS NOT NULL",
 }
-SQL: dict[str, str] = {}

@@ -3,7 +3,8 @@
 Method, in SQL alone: word trigrams are counted inside texts, by what follows them (another word, the end of a sentence, the
 end of a line), and at the ends of texts. The final trigram of every text is joined to the counts. A final trigram that goes
 on, or ends with a full stop, nearly everywhere else was cut; so was a last word that elsewhere, in its place, is only
-ever the beginning of longer words. Words are compared without case, accents and digits.
+ever the beginning of longer words. Words are compared without case, accents and digits; an ellipsis at the end counts as
+nothing, since some sources put one where they cut. The texts are read twice: once for their ends, once for the counts.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontospan.functions.visual import folded
+from ontospan.session import cut
 
 # A word, a list marker at the start of a line, the end of a sentence, a pause, the end of a line.
 TOKEN = r"[\p{L}\p{N}_�%][^\s,;:.!?]*(?:[.,:][\p{L}\p{N}][^\s,;:.!?]*)*|(?<=\n)[-+*•](?=\s)|[.!?]+|[,;:]|\n"
 
 TOKENS = r"""
 SELECT doc_id, source,
-       regexp_extract_all(concat('\n', regexp_replace(rtrim(' \n\t\r', regexp_replace(regexp_replace(line, '[-_=*]{3,}', ''), '[0-9]+', '0')), '[ \t]*[\r\n]+\s*', '\n')), '{token}', 0) AS a
+       regexp_extract_all(concat('\n', regexp_replace(rtrim(' \n\t\r', regexp_replace(regexp_replace(line, '[-_=*]{3,}|[.]{3,}', ' '), '[0-9]+', '0')), '[ \t]*[\r\n]+\s*', '\n')), '{token}', 0) AS a
 FROM (SELECT doc_id, source, {folded} AS line FROM {documents} WHERE text IS NOT NULL AND doc_id IS NOT NULL)
 """
 
@@ -75,13 +77,18 @@ def ends(documents: DataFrame) -> DataFrame:
     trigram mostly ends lines or texts; a text that ends with a full stop, question or exclamation mark is whole.
     """
     spark = documents.sparkSession
-    spark_sql = lambda q, **frames: spark.sql(q, **frames)
+
+    def spark_sql(query: str, **frames: DataFrame) -> DataFrame:
+        query = query.replace("{", "{{").replace("}", "}}")  # braces of the patterns are none of the tables'
+        for name in frames:
+            query = query.replace(f"{{{{{name}}}}}", f"{{{name}}}")
+        return spark.sql(query, **frames)
+
     rows = documents.select("doc_id", "source", folded(F.col("text")).alias("folded_text"), "text")
     tokens = spark_sql(TOKENS.replace("{token}", TOKEN.replace("\\", "\\\\")).replace("{folded}", "folded_text"), documents=rows)
-    followed = spark_sql(FOLLOWED, tokens=tokens)
-    finals = spark_sql(FINALS, tokens=tokens)
-    near3 = followed.join(finals.select("ctx").distinct(), "ctx", "left_semi")
-    near2 = followed.join(finals.select("prev").distinct(), "prev", "left_semi")
+    finals = cut(spark_sql(FINALS, tokens=tokens))
+    near2 = cut(spark_sql(FOLLOWED, tokens=tokens).join(finals.select("prev").distinct(), "prev", "left_semi"))
+    near3 = near2.join(finals.select("ctx").distinct(), "ctx", "left_semi")
     longer3, longer2 = (spark_sql(PREFIXES.replace("{key}", k), followed=near) for k, near in (("ctx", near3), ("prev", near2)))
     return spark_sql(VERDICT, finals=finals, followed=near2, longer3=longer3, longer2=longer2)
 

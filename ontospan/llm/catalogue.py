@@ -1,12 +1,14 @@
 """Queries of this subpackage, with their SQL where SQL can express them over whole tables."""
 
-from ontospan.llm import frequency, leaks, mixing, same_look, split, truncation
+from ontospan.llm import frequency, leaks, mapping, mixing, same_look, split, truncation
 
 QUERIES = {
     "p1_found": same_look.p1_found,
     "p1_forms": same_look.p1_forms,
     "p2_found": frequency.p2_found,
     "p2_terms": frequency.p2_terms,
+    "p4_found": mapping.p4_found,
+    "p4_unmatched": mapping.p4_unmatched,
     "p5_found": split.p5_found,
     "p5_pieces": split.p5_pieces,
     "p7_found": leaks.p7_found,

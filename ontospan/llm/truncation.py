@@ -4,12 +4,13 @@ Method, in SQL alone: word trigrams are counted inside texts, by what follows th
 end of a line), and at the ends of texts. The final trigram of every text is joined to the counts. A final trigram that goes
 on, or ends with a full stop, nearly everywhere else was cut; so was a last word that elsewhere, in its place, is only
 ever the beginning of longer words. Words are compared without case, accents and digits; an ellipsis at the end counts as
-nothing, since some sources put one where they cut. The texts are read twice: once for their ends, once for the counts.
+nothing, since some sources put one where they cut. The texts are read twice: once for their last
+lines, once for the counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontospan.functions.visual import folded
@@ -20,27 +21,30 @@ TOKEN = r"[\p{L}\p{N}_�%][^\s,;:.!?]*(?:[.,:][\p{L}\p{N}][^\s,;:.!?]*)*|(?<=\n
 
 TOKENS = r"""
 SELECT doc_id, source,
-       regexp_extract_all(concat('\n', regexp_replace(rtrim(' \n\t\r', regexp_replace(regexp_replace(line, '[-_=*]{3,}|[.]{3,}', ' '), '[0-9]+', '0')), '[ \t]*[\r\n]+\s*', '\n')), '{token}', 0) AS a
+       regexp_extract_all(concat('\n', rtrim(' \n\t\r', regexp_replace(regexp_replace(regexp_replace(line, '[-_=*]{3,}|[.]{3,}', ' '), '[0-9]+', '0'), '[ \t]*[\r\n]+\s*', '\n'))), '{token}', 0) AS a
 FROM (SELECT doc_id, source, {folded} AS line FROM {documents} WHERE text IS NOT NULL AND doc_id IS NOT NULL)
 """
 
+# the context of a word is the two tokens before it, on its own line
 FOLLOWED = r"""
-SELECT xxhash64(g.x, g.y) AS ctx, xxhash64(g.y) AS prev, g.w AS word,
+SELECT xxhash64(if(g.y = '\n', '\n', g.x), g.y) AS ctx, xxhash64(g.y) AS prev, g.w AS word,
        count_if(g.z NOT RLIKE '^([.!?]+|\n)$') AS inside, count_if(g.z RLIKE '^[.!?]+$') AS stopped, count_if(g.z = '\n') AS line_ends, count_if(g.z IS NULL) AS text_ends
 FROM (
-  SELECT explode(transform(sequence(2, size(a)), i -> named_struct('x', try_element_at(a, if(i > 2, i - 2, 1)), 'y', a[i - 2], 'w', a[i - 1], 'z', try_element_at(a, i + 1)))) AS g
+  SELECT explode(transform(sequence(2, size(a)), i -> named_struct('x', get(a, i - 3), 'y', get(a, i - 2), 'w', get(a, i - 1), 'z', get(a, i)))) AS g
   FROM {tokens} WHERE size(a) > 1
 )
 WHERE g.w RLIKE r'^[\p{L}\p{N}_�%]'
 GROUP BY ALL
 """
 
+# of the last line with a word in it; a pause or full stop after the last word is told apart and left off
 FINALS = r"""
-SELECT doc_id, source, b[n - 1] AS word, xxhash64(b[greatest(n - 3, 0)], b[n - 2]) AS ctx, xxhash64(b[n - 2]) AS prev, a[size(a) - 1] RLIKE r'^[.!?]$|[!?]' AS stopped,
-       a[size(a) - 1] RLIKE r'^[,;]$' AS pauses,
-       b[n - array_position(reverse(b), '\n') + 1] RLIKE '^[-+*•]$' AS in_list
-FROM (SELECT *, size(b) AS n FROM (SELECT doc_id, source, a, filter(slice(a, 1, size(a) - if(a[size(a) - 1] RLIKE r'^([.!?]+|[,;:])$', 1, 0)), x -> true) AS b FROM {tokens} WHERE size(a) > 1))
-WHERE n > 1
+SELECT doc_id, source, get(b, n - 1) AS word, xxhash64(if(get(b, n - 2) = '\n', '\n', get(b, n - 3)), get(b, n - 2)) AS ctx, xxhash64(get(b, n - 2)) AS prev,
+       coalesce(rest RLIKE '^[.!?]', false) AS stopped, coalesce(rest RLIKE '^[,;]', false) AS pauses, get(b, 1) RLIKE '^[-+*•]$' AS in_list
+FROM (SELECT *, size(b) AS n
+      FROM (SELECT doc_id, source, if(last_word = size(a), null, get(a, last_word)) AS rest, slice(a, 1, last_word) AS b
+            FROM (SELECT *, size(a) - array_position(transform(reverse(a), t -> t RLIKE r'^[\p{L}\p{N}_�%]'), true) + 1 AS last_word FROM {tokens})
+            WHERE last_word BETWEEN 2 AND size(a)))
 """
 
 # prefixes of the words that follow a context, with how often; only of contexts in which a text ends
@@ -84,10 +88,14 @@ def ends(documents: DataFrame) -> DataFrame:
             query = query.replace(f"{{{{{name}}}}}", f"{{{name}}}")
         return spark.sql(query, **frames)
 
-    rows = documents.select("doc_id", "source", folded(F.col("text")).alias("folded_text"), "text")
-    tokens = spark_sql(TOKENS.replace("{token}", TOKEN.replace("\\", "\\\\")).replace("{folded}", "folded_text"), documents=rows)
-    finals = cut(spark_sql(FINALS, tokens=tokens))
-    near2 = cut(spark_sql(FOLLOWED, tokens=tokens).join(finals.select("prev").distinct(), "prev", "left_semi"))
+    lines = F.filter(F.split("text", r"[\r\n]+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+
+    def tokens(text: Column) -> DataFrame:
+        rows = documents.select("doc_id", "source", folded(text).alias("folded_text"), "text")
+        return spark_sql(TOKENS.replace("{token}", TOKEN.replace("\\", "\\\\")).replace("{folded}", "folded_text"), documents=rows)
+
+    finals = cut(spark_sql(FINALS, tokens=tokens(F.try_element_at(lines, F.lit(-1)))))
+    near2 = cut(spark_sql(FOLLOWED, tokens=tokens(F.col("text"))).join(finals.select("prev").distinct(), "prev", "left_semi"))
     near3 = near2.join(finals.select("ctx").distinct(), "ctx", "left_semi")
     longer3, longer2 = (spark_sql(PREFIXES.replace("{key}", k), followed=near) for k, near in (("ctx", near3), ("prev", near2)))
     return spark_sql(VERDICT, finals=finals, followed=near2, longer3=longer3, longer2=longer2)

@@ -83,13 +83,21 @@ def gate(rules: DataFrame, chunks: DataFrame, confirmed: DataFrame, unconfirmed_
     return placed.join(seen, keys, "left").where(~needs | sure | F.col("confirmed")).select(*keys, "score", "structure_role")
 
 
+def near_pairs(left: DataFrame, right: DataFrame, distance: int, group: str = "doc_id") -> DataFrame:
+    """(group, a, b): structs of all pairs of one group whose starts are at most `distance` apart. They meet by stretches of that
+    length, so that a long document isn't joined with all of itself."""
+    size = distance + 1
+    a = left.select(group, F.struct(*left.columns).alias("a"), F.explode(F.array(*(F.floor(F.col("start") / size) + d for d in (-1, 0, 1)))).alias("stretch"))
+    b = right.select(group, F.struct(*right.columns).alias("b"), F.floor(F.col("start") / size).alias("stretch"))
+    return a.join(b, [group, "stretch"]).where(F.abs(F.col("a.start") - F.col("b.start")) <= distance).drop("stretch")
+
+
 def relations(spans: DataFrame, distance: int = 120, group: str = "doc_id") -> DataFrame:
     """Ordered pairs of spans near each other: a drug with a symptom or condition, a test with a result."""
-    a, b = spans.alias("a"), spans.alias("b")
-    near = (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.abs(F.col("a.start") - F.col("b.start")) <= distance)
+    rows = spans.select(group, "start", "type")
+    pairs = near_pairs(rows.where(F.col("type").isin(DRUG, TEST_NAME)), rows.where(F.col("type").isin(SYMPTOM, DIAGNOSIS, TEST_RESULT)), distance, group)
     kind = F.when((F.col("a.type") == DRUG) & F.col("b.type").isin(SYMPTOM, DIAGNOSIS), "treats").when((F.col("a.type") == TEST_NAME) & (F.col("b.type") == TEST_RESULT), "has_result")
-    pairs = a.where(F.col("a.type").isin(DRUG, TEST_NAME)).join(b.where(F.col("b.type").isin(SYMPTOM, DIAGNOSIS, TEST_RESULT)), near)
-    return pairs.select(F.col(f"a.{group}").alias(group), F.col("a.start").alias("source_start"), F.col("b.start").alias("target_start"), kind.alias("relation")).where(F.col("relation").isNotNull())
+    return pairs.select(group, F.col("a.start").alias("source_start"), F.col("b.start").alias("target_start"), kind.alias("relation")).where(F.col("relation").isNotNull())
 
 
 def drop_nested(spans: DataFrame, inner: str = DIAGNOSIS, outer: str = TEST_NAME, group: str = "doc_id") -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ontospan.plans import data_jobs
+from ontospan.plans import data_jobs, text_queries
 
-PARTS = [data_jobs]
+PARTS = [data_jobs, text_queries]
 
 
 def queries() -> dict:

@@ -64,7 +64,8 @@ def keyed(rows: DataFrame) -> DataFrame:
     """lines with the stripped line, where it starts, and its key."""
     bare = F.regexp_extract("line", r"^[\s:\-*]*(.*?)[\s:\-*]*$", 1)
     at = F.col("start") + F.length(F.regexp_extract("line", r"^[\s:\-*]*", 0))
-    return rows.withColumn("bare", bare).withColumn("at", at).withColumn("key", normalize_key(F.col("bare"))).where("key <> ''")
+    rows = rows.withColumn("bare", bare).withColumn("at", at)
+    return rows.select("*", F.inline(F.array(F.struct(normalize_key(F.col("bare")).alias("key"))))).where("key <> ''")
 
 
 def _major(key: Column) -> Column:
@@ -91,40 +92,44 @@ def sections(documents: DataFrame) -> DataFrame:
     return ends.select("doc_id", "name", "start", F.coalesce("next", "n").alias("end")).where("start < end OR n = 0")
 
 
-def _heading_like(raw: Column, key: Column) -> Column:
-    words = F.size(F.split(key, " "))
-    stripped = F.rtrim(raw)
-    return (F.length(key) <= 140) & (raw.rlike(r"^\s*\d+(?:\.\d+)*[.)/]?\s+") | stripped.rlike("[:：]$") | ((words <= 12) & ~stripped.rlike("[.?!]$")))
-
-
-def role(raw: Column, key: Column) -> Column:
-    """The structural role a line begins, or null."""
-    low = F.lower(F.regexp_replace(raw, r"^[\s*\-]+", ""))
-    heading = F.regexp_replace(key, r"^\d+(?:\.\d+)*[.)/]?\s*", "")
-    patient = key.rlike(r"^(?:\d+(?:\.\d+)*[.)/]?\s*)?(?:benh nhan|bn)\s+(?:nam|nu)\s+\d+\s+tuoi\b") | (key.rlike(r"^(?:\d+(?:\.\d+)*[.)/]?\s*)?(?:benh nhan|bn)\s+(?:nam|nu)\b") & F.left(key, F.lit(180)).contains("vao vien"))
+def with_role(rows: DataFrame) -> DataFrame:
+    """lines with a key, and the structural role that a line begins, or null. Parts that several rules use are columns of their own."""
+    raw, key, heading = F.col("line"), F.col("key"), F.col("_heading")
     short_title = (F.size(F.split(heading, " ")) <= 14) & ~F.rtrim(raw).rlike(r"\.$")
+    like = (F.length(key) <= 140) & (raw.rlike(r"^\s*\d+(?:\.\d+)*[.)/]?\s+") | F.rtrim(raw).rlike("[:：]$") | ((F.size(F.split(key, " ")) <= 12) & ~F.rtrim(raw).rlike("[.?!]$")))
+    parts = {
+        "_low": F.lower(F.regexp_replace(raw, r"^[\s*\-]+", "")),
+        "_heading": F.regexp_replace(key, r"^\d+(?:\.\d+)*[.)/]?\s*", ""),
+        "_major": _major(key),
+    }
+    rows = rows.withColumns(parts).withColumn("_like", like)
+    person = r"^(?:\d+(?:\.\d+)*[.)/]?\s*)?(?:benh nhan|bn)\s+(?:nam|nu)"
+    patient = key.rlike(person + r"\s+\d+\s+tuoi\b") | (key.rlike(person + r"\b") & F.left(key, F.lit(180)).contains("vao vien"))
     article = (F.length(heading) <= 150) & heading.rlike("|".join(ARTICLE_CUES)) & ~raw.rlike(r"^\s*[-*•]") & (raw.rlike(r"^\s*\d+(?:\.\d+)*[.)]?\s+") | short_title)
-    like = _heading_like(raw, key)
+    low, headed = F.col("_low"), F.col("_like")
     steps = [
-        (low.rlike(r"^(?:hỏi|hoi|question)\s*[:：-]") | heads(key, QUESTION), F.lit("question")),
-        (low.rlike(r"^(?:trả lời|tra loi|đáp|dap|answer)\s*[:：-]") | heads(key, ANSWER), F.lit("answer")),
-        (_major(key).isNotNull(), reduce(lambda c, kv: F.when(_major(key) == kv[0], kv[1]).otherwise(c), SECTION_ROLE.items(), F.lit("document"))),
-        (patient, F.lit("patient_case")),
-        *((heads(heading, (m,)), F.lit(r)) for m, r in HISTORY.items()),
-        (heads(heading, EVENTS), F.lit("pre_admission_events")),
-        (heads(heading, SYMPTOMS), F.lit("symptom_profile")),
-        (like & heads(heading, LABS), F.lit("lab_or_imaging")),
-        (like & heads(heading, DIAGNOSES), F.lit("diagnosis")),
-        (like & heads(heading, TREATMENTS), F.lit("treatment")),
-        (article, F.lit("medical_article")),
+        (low.rlike(r"^(?:hỏi|hoi|question)\s*[:：-]") | heads(key, QUESTION), "question"),
+        (low.rlike(r"^(?:trả lời|tra loi|đáp|dap|answer)\s*[:：-]") | heads(key, ANSWER), "answer"),
+        *((F.col("_major") == name, r) for name, r in SECTION_ROLE.items()),
+        (patient, "patient_case"),
+        *((heads(heading, (m,)), r) for m, r in HISTORY.items()),
+        (heads(heading, EVENTS), "pre_admission_events"),
+        (heads(heading, SYMPTOMS), "symptom_profile"),
+        (headed & heads(heading, LABS), "lab_or_imaging"),
+        (headed & heads(heading, DIAGNOSES), "diagnosis"),
+        (headed & heads(heading, TREATMENTS), "treatment"),
+        (article, "medical_article"),
     ]
-    return F.coalesce(*(F.when(condition, value) for condition, value in steps))
+    named = F.array(F.struct(reduce(lambda c, s: c.when(*s), steps[1:], F.when(*steps[0])).alias("role")))
+    kept = [c for c in rows.columns if c not in ("_low", "_heading", "_major", "_like")]
+    # inline keeps later filters on the role from being pushed down, where the whole expression would be repeated
+    return rows.select(*kept, F.inline(named))
 
 
 def role_hits(documents: DataFrame) -> DataFrame:
     """(doc_id, start, role) of the lines that begin a role. After a question, the first line of advice in a part that is
     neither question nor answer begins an answer again."""
-    rows = keyed(lines(documents)).select("doc_id", F.col("at").alias("start"), role(F.col("line"), F.col("key")).alias("role"), (heads(F.col("key"), ADVICE) | F.concat(F.lit(" "), "key", F.lit(" ")).rlike(" (?:em|ban) nen ")).alias("advice"))
+    rows = with_role(keyed(lines(documents))).select("doc_id", F.col("at").alias("start"), "role", (heads(F.col("key"), ADVICE) | F.concat(F.lit(" "), "key", F.lit(" ")).rlike(" (?:em|ban) nen ")).alias("advice"))
     rows = rows.where("role IS NOT NULL OR advice")
     order = W.partitionBy("doc_id").orderBy("start")
     before = order.rowsBetween(W.unboundedPreceding, -1)

@@ -68,20 +68,28 @@ def variants(text: Column, kind: Column) -> Column:
     return F.filter(every, firsts)
 
 
-def qualifier_adjustment(query: Column, candidate: Column) -> Column:
-    """Reward of matching stage, acuity, side and type, and penalty of missing and conflicting ones; both in spelled() form."""
-    stage = lambda k: F.translate(F.regexp_replace(F.regexp_replace(F.regexp_extract(k, r"\bgiai doan\s+(cuoi|[1-5]|i{1,3}|iv|v)\b", 1), "^(?:cuoi|v)$", "5"), "^iv$", "4"), "", "")
-    arabic = lambda k: F.when(stage(k).rlike("^i+$"), F.length(stage(k)).cast("string")).otherwise(stage(k))
+def with_adjustment(rows: DataFrame, query: str, candidate: str, into: str) -> DataFrame:
+    """rows with the reward of matching stage, acuity, side and type of two names, and the penalty of missing and conflicting ones.
+
+    Every qualifier is a column of its own for a while, so that long expressions aren't repeated in the generated code.
+    """
+    stage = lambda k: F.regexp_extract(k, r"\bgiai doan\s+(cuoi|[1-5]|i{1,3}|iv|v)\b", 1)
+    arabic = lambda s: reduce(lambda c, kv: F.when(s == kv[0], kv[1]).otherwise(c), {"cuoi": "5", "i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5"}.items(), s)
     acuity = lambda k: F.when(k.rlike(r"\bcap(?: tinh)?\b"), "acute").when(k.rlike(r"\bman(?: tinh)?\b"), "chronic").otherwise("")
     side = lambda k: F.when(k.rlike(r"\b(?:hai ben|bilateral)\b"), "both").when(k.rlike(r"\b(?:trai|left)\b"), "left").when(k.rlike(r"\b(?:phai|right)\b"), "right").otherwise("")
     kind = lambda k: F.regexp_extract(k, r"\b(?:type|tip)\s*([12])\b", 1)
     vague = lambda k: k.rlike(r"\b(?:khong xac dinh|khong dac hieu|unspecified|nos)\b")
+    out = rows.withColumns({"_q0": spelled(normalize_key(F.col(query))), "_c0": spelled(normalize_key(F.col(candidate)))})
+    parts = {"stage": stage, "acuity": acuity, "side": side, "kind": kind, "vague": vague}
+    out = out.withColumns({f"_{x}_{n}": f(F.col(f"_{x}0")) for x in "qc" for n, f in parts.items()})
+    out = out.withColumns({f"_{x}_stage": arabic(F.col(f"_{x}_stage")) for x in "qc"})
     total, stated = F.lit(0.0), F.lit(False)
-    for f, match, missing, conflict in ((arabic, 0.16, -0.25, -0.45), (acuity, 0.08, -0.16, -0.30), (side, 0.10, -0.18, -0.35), (kind, 0.10, -0.20, -0.35)):
-        q, c = f(query), f(candidate)
+    for n, match, missing, conflict in (("stage", 0.16, -0.25, -0.45), ("acuity", 0.08, -0.16, -0.30), ("side", 0.10, -0.18, -0.35), ("kind", 0.10, -0.20, -0.35)):
+        q, c = F.col(f"_q_{n}"), F.col(f"_c_{n}")
         total += F.when(q == "", 0.0).when(c == "", missing).when(q == c, match).otherwise(conflict)
         stated = stated | (q != "")
-    return total + F.when(vague(query), F.when(vague(candidate), 0.08).otherwise(-0.10)).when(vague(candidate) & stated, -0.08).otherwise(0.0)
+    total += F.when(F.col("_q_vague"), F.when(F.col("_c_vague"), 0.08).otherwise(-0.10)).when(F.col("_c_vague") & stated, -0.08).otherwise(0.0)
+    return out.withColumn(into, total).drop("_q0", "_c0", *(f"_{x}_{n}" for x in "qc" for n in parts))
 
 
 def hit_score(source: Column, rank: Column, priority: Column) -> Column:
@@ -96,9 +104,12 @@ def alias_hits(mentions: DataFrame, kb: DataFrame) -> DataFrame:
     asked = mentions.select("concept_type", "text").distinct().select("concept_type", "text", F.posexplode(variants(F.col("text"), F.col("concept_type"))).alias("variant", "x")).select("concept_type", "text", "variant", F.col("x.source").alias("source"), F.col("x.key").alias("alias_norm"))
     found = asked.join(index, ["concept_type", "alias_norm"]).join(records, ["concept_type", "code"])
     first = found.groupBy("concept_type", "text", "code").agg(F.min_by(F.struct("source", "rank", "record_priority", "record_name", "ttys"), F.struct("variant", "rank")).alias("x")).select("concept_type", "text", "code", "x.*")
-    query, candidate = rx.normalize_rx(F.col("text")), rx.normalize_rx(F.col("record_name"))
-    extra = F.when(F.col("concept_type") == DRUG, rx.match_score(query, candidate, F.col("record_name")) + rx.tty_score(query, F.col("ttys"))).otherwise(qualifier_adjustment(spelled(normalize_key(F.col("text"))), spelled(normalize_key(F.col("record_name")))))
-    return first.select("concept_type", "text", "code", "source", (hit_score(F.col("source"), F.col("rank"), F.col("record_priority")) + extra).alias("score"), F.col("record_priority").alias("priority"), "record_name", "ttys")
+    is_drug = F.col("concept_type") == DRUG
+    base = hit_score(F.col("source"), F.col("rank"), F.col("record_priority"))
+    drugs = first.where(is_drug).withColumns({"_q": rx.normalize_rx(F.col("text")), "_c": rx.normalize_rx(F.col("record_name"))})
+    drugs = drugs.withColumn("extra", rx.match_score(F.col("_q"), F.col("_c"), F.col("record_name")) + rx.tty_score(F.col("_q"), F.col("ttys"))).drop("_q", "_c")
+    scored = drugs.unionByName(with_adjustment(first.where(~is_drug), "text", "record_name", "extra"))
+    return scored.select("concept_type", "text", "code", "source", (base + F.col("extra")).alias("score"), F.col("record_priority").alias("priority"), "record_name", "ttys")
 
 
 def top_hits(hits: DataFrame, limit: int) -> DataFrame:
@@ -139,8 +150,7 @@ def lexical_hits(mentions: DataFrame, kb: DataFrame, limit: int = 20) -> DataFra
     scored = lexical_scores(preliminary(mentions.where(F.col("concept_type") == DIAGNOSIS), docs), docs).where(F.col("similarity") >= F.col("threshold"))
     best = scored.select("text", F.explode("codes").alias("code"), "similarity").groupBy("text", "code").agg(F.max("similarity").alias("similarity"))
     records = kb.where(F.col("concept_type") == DIAGNOSIS).groupBy("code").agg(F.min_by("record_name", F.struct("priority", "record_id")).alias("record_name"), F.min("priority").alias("priority"))
-    adjust = qualifier_adjustment(spelled(normalize_key(F.col("text"))), spelled(normalize_key(F.col("record_name"))))
-    hits = best.join(records, "code").select(F.lit(DIAGNOSIS).alias("concept_type"), "text", "code", F.lit("diagnosis_lexical").alias("source"), (0.45 + 0.4 * F.col("similarity") + adjust - F.col("priority") * 0.0005).alias("score"), "priority")
+    hits = with_adjustment(best.join(records, "code"), "text", "record_name", "adjust").select(F.lit(DIAGNOSIS).alias("concept_type"), "text", "code", F.lit("diagnosis_lexical").alias("source"), (0.45 + 0.4 * F.col("similarity") + F.col("adjust") - F.col("priority") * 0.0005).alias("score"), "priority")
     return top_hits(hits, limit).drop("hit_rank")
 
 
@@ -151,8 +161,9 @@ def drug_hits(mentions: DataFrame, kb: DataFrame, limit: int = 30) -> DataFrame:
     records = drugs.groupBy("code").agg(F.min_by(F.struct("record_name", "ttys"), F.struct("priority", "record_id")).alias("r"), F.min("priority").alias("priority")).join(support, "code", "left")
     asked = terminology.mention_keys(mentions.where(F.col("concept_type") == DRUG).select("text").distinct())
     pairs = asked.join(terminology.drug_postings(kb, DRUG), "lookup_key").select("text", "code").distinct().join(records, "code")
-    query = rx.normalize_rx(F.col("text"))
-    score = 0.70 + rx.match_score(query, rx.normalize_rx(F.col("r.record_name")), F.col("r.record_name")) + rx.tty_score(query, F.col("r.ttys")) + F.least(F.coalesce("n_aliases", F.lit(0)), F.lit(10)) * 0.002 - F.least("priority", F.lit(100)) * 0.001
+    pairs = pairs.withColumns({"_q": rx.normalize_rx(F.col("text")), "_c": rx.normalize_rx(F.col("r.record_name"))})
+    query = F.col("_q")
+    score = 0.70 + rx.match_score(query, F.col("_c"), F.col("r.record_name")) + rx.tty_score(query, F.col("r.ttys")) + F.least(F.coalesce("n_aliases", F.lit(0)), F.lit(10)) * 0.002 - F.least("priority", F.lit(100)) * 0.001
     hits = pairs.select(F.lit(DRUG).alias("concept_type"), "text", "code", F.lit("medication_lexical").alias("source"), score.alias("score"), "priority")
     return top_hits(hits, limit).drop("hit_rank")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ontospan.plans import data_jobs, text_queries
+from ontospan.plans import code_queries, data_jobs, eval_queries, note_queries, text_queries
 
-PARTS = [data_jobs, text_queries]
+PARTS = [data_jobs, text_queries, note_queries, code_queries, eval_queries]
 
 
 def queries() -> dict:

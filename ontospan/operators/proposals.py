@@ -44,13 +44,15 @@ def found(line: Column, pattern: str) -> Column:
     pieces = F.split(F.regexp_replace(line, pattern, "\u0001$1\u0002$2\u0002$3\u0003"), "\u0001")
     bare = lambda x: F.translate(x, "\u0002\u0003", "")
     part = lambda x, i: F.substring_index(F.substring_index(F.substring_index(x, "\u0003", 1), "\u0002", i), "\u0002", -1)
-    matches = F.transform(pieces, lambda x, i: F.struct(F.length(bare(F.array_join(F.slice(pieces, 1, i), ""))).alias("start"), part(x, 1).alias("a"), part(x, 2).alias("b"), part(x, 3).alias("c")))
-    return F.slice(matches, 2, F.size(matches))
+    start = lambda all_, i: F.length(bare(F.array_join(F.slice(all_, 1, i), "")))
+    # the outer transform binds the pieces to a variable, so that they are worked out once and not for every match
+    bound = F.transform(F.array(pieces), lambda all_: F.transform(all_, lambda x, i: F.struct(start(all_, i).alias("start"), part(x, 1).alias("a"), part(x, 2).alias("b"), part(x, 3).alias("c"))))
+    return F.filter(F.flatten(bound), lambda m, i: i > 0)
 
 
 def in_lines(documents: DataFrame, pattern: str) -> DataFrame:
     """(doc_id, line_no, line, start, line_start, a, b, c) of all matches in all lines."""
-    rows = lines(documents).select("doc_id", "line_no", "line", F.col("start").alias("line_start"), F.explode(found(F.col("line"), pattern)).alias("m"))
+    rows = lines(documents).where(F.length("line") > 0).select("doc_id", "line_no", "line", F.col("start").alias("line_start"), F.explode(found(F.col("line"), pattern)).alias("m"))
     return rows.select("doc_id", "line_no", "line", "line_start", (F.col("line_start") + F.col("m.start")).alias("start"), "m.a", "m.b", "m.c")
 
 
@@ -82,7 +84,7 @@ def drug_spans(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def _labs(documents: DataFrame, pattern: str, score: float) -> DataFrame:
-    rows = in_lines(documents, pattern)
+    rows = in_lines(documents, pattern)  # a result needs a digit, a sign in brackets or a worded finding, which few lines have
     name = F.regexp_replace(F.regexp_replace("a", r"^[\s\-*•]+", ""), r"[\s.,;:]+$", "")
     lead = F.length("a") - F.length(F.regexp_replace("a", r"^[\s\-*•]+", ""))
     result = F.regexp_replace("c", r"^\s+|[\s.,;:]+$", "")

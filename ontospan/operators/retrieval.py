@@ -121,10 +121,14 @@ def top_hits(hits: DataFrame, limit: int) -> DataFrame:
 def preliminary(mentions: DataFrame, docs: DataFrame, most: int = 240, token_docs: int = 1600, gram_docs: int = 2200) -> DataFrame:
     """(text, query, alias): per mention the aliases with most weight of rare tokens and character 3-grams in common."""
     asked = mentions.select("text").distinct().withColumn("query", unspecific(core(spelled(normalize_key(F.col("text")))))).where("query <> ''")
-    tokens = asked.select("text", "query", F.explode(F.array_distinct(condition_tokens(F.col("query")))).alias("item")).join(terminology.postings(docs, "tokens", token_docs), "item")
-    grams = asked.select("text", "query", F.explode(char_ngrams(F.col("query"))).alias("item")).join(terminology.postings(docs, "grams", gram_docs), "item")
-    votes = tokens.withColumn("vote", F.col("idf") * 3).unionByName(grams.withColumn("vote", F.col("idf"))).groupBy("text", "query", "alias").agg(F.round(F.sum("vote"), 6).alias("votes"))
-    return votes.withColumn("vote_rank", F.row_number().over(W.partitionBy("text").orderBy(F.col("votes").desc(), "alias"))).where(F.col("vote_rank") <= most)
+    asked = asked.withColumn("text_id", F.xxhash64("text"))
+    by_id = lambda p: p.select("item", F.xxhash64("alias").alias("alias_id"), "idf")
+    tokens = asked.select("text_id", F.explode(F.array_distinct(condition_tokens(F.col("query")))).alias("item")).join(by_id(terminology.postings(docs, "tokens", token_docs)), "item")
+    grams = asked.select("text_id", F.explode(char_ngrams(F.col("query"))).alias("item")).join(by_id(terminology.postings(docs, "grams", gram_docs)), "item")
+    # votes are counted under 64-bit ids; the strings are joined back to the few that are kept
+    votes = tokens.select("text_id", "alias_id", (F.col("idf") * 3).alias("vote")).unionByName(grams.select("text_id", "alias_id", F.col("idf").alias("vote"))).groupBy("text_id", "alias_id").agg(F.round(F.sum("vote"), 6).alias("votes"))
+    kept = votes.withColumn("vote_rank", F.row_number().over(W.partitionBy("text_id").orderBy(F.col("votes").desc(), "alias_id"))).where(F.col("vote_rank") <= most)
+    return kept.join(asked, "text_id").join(docs.select(F.xxhash64("alias").alias("alias_id"), "alias"), "alias_id").select("text", "query", "alias", "votes", "vote_rank")
 
 
 def lexical_scores(candidates: DataFrame, docs: DataFrame, with_sequence: bool = True) -> DataFrame:

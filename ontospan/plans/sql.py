@@ -5,11 +5,7 @@ from __future__ import annotations
 import re
 
 from ontospan.functions.rx import REWRITES
-
-# one row per concept_id; re-deliveries are otherwise equal
-CONCEPTS = "(SELECT concept_id, any_value(doc_id) AS doc_id, any_value(idx) AS idx, any_value(text) AS text, any_value(concept_type) AS type, any_value(char_position)[1] AS s, any_value(char_position)[2] AS e, any_value(assertions) AS assertions, any_value(candidates) AS candidates FROM concepts GROUP BY concept_id)"
-MIRROR = "(SELECT concept_id, arg_max(x.doc_id, k) AS doc_id, arg_max(x.idx, k) AS idx, arg_max(x.text, k) AS text, arg_max(x.concept_type, k) AS type, arg_max(x.char_position, k)[1] AS s, arg_max(x.char_position, k)[2] AS e, arg_max(x, k).assertions AS assertions, arg_max(x, k).candidates AS candidates FROM (SELECT x, concept_id, (x.synced_at, x.text) AS k FROM (SELECT m AS x, concept_id FROM concepts_mirror m)) GROUP BY concept_id)"
-
+from ontospan.functions.visual import LOOKALIKES
 
 def key(c: str) -> str:
     """The comparison key of functions.text.normalize_key."""
@@ -30,3 +26,14 @@ def rx(c: str) -> str:
 
 def tokens(k: str) -> str:
     return f"list_filter(string_split({k}, ' '), lambda x: x <> '')"
+
+
+_FLAT = {**LOOKALIKES, **{chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}, **dict.fromkeys("\u00a0\u2007\u2009\u202f\u3000", " ")}
+
+
+def form(c: str) -> str:
+    """The consistent form of functions.visual for the characters of these tables: removals, one-to-one changes, then composition."""
+    bare = f"regexp_replace({c}, '[\\x{{00AD}}\\x{{034F}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g')"
+    flat = f"translate(replace(replace({bare}, '…', '...'), 'Ⅱ', 'II'), '{''.join(_FLAT)}', '{''.join(_FLAT.values()).replace(chr(39), chr(39) * 2)}')"
+    flat = flat.replace("'" + "".join(_FLAT) + "'", "'" + "".join(_FLAT).replace("'", "''") + "'")
+    return f"trim(regexp_replace(nfc_normalize({flat}), '\\s+', ' ', 'g'))"

@@ -25,6 +25,7 @@ BEFORE = r"^((benh|hoi chung|td|t d|theo doi|chan doan|cd|nghi ngo|nghi)\s+)+"
 AFTER = r"(\s+(td|hen tai kham|chua loai tru|da on|ngay thu [0-9]+|cu|man))+$"
 FORMS = {"nen": "tablet", "tablet": "tablet", "nang": "capsule", "capsule": "capsule", "dich": "solution", "solution": "solution", "tiem": "injection", "injection": "injection", "phong": "extended", "extended": "extended"}
 AROUND_DRUG = "vien nen nang dung dich uong thuoc tiem phong thich keo dai oral tablet tab capsule cap solution injection extended release x khi dau po bid tid qd prn sang trua chieu toi ngay lan moi truoc sau an ong goi lo hop can".split()
+NUMERAL = "^([ivx]+|[0-9]+)$"
 UNITS = {"mcg": 1, "µg": 1, "ug": 1, "microgam": 1, "mg": 1000, "miligam": 1000, "milligram": 1000, "g": 1000000, "gam": 1000000, "gram": 1000000}
 STRENGTH = r"([0-9]+(?:[.,][0-9]+)?)\s*(mcg|µg|ug|microgam|mg|miligam|milligram|gram|gam|g)(?![a-z0-9])"
 SHAPES = {"â": "aa", "ă": "aw", "ê": "ee", "ô": "oo", "ơ": "ow", "ư": "uw", "đ": "dd"}
@@ -82,7 +83,7 @@ def drug_name(text: Column) -> Column:
 
 def edits(length: Column) -> Column:
     """How many edits a reference string of this length allows."""
-    return F.when(length < 6, 1).when(length < 8, 2).when(length < 10, 3).otherwise(MOST_EDITS)
+    return F.when(length < 2, 0).when(length < 6, 1).when(length < 8, 2).when(length < 10, 3).otherwise(MOST_EDITS)
 
 
 def _segment(length: Column, k: Column, i: Column) -> tuple[Column, Column]:
@@ -132,24 +133,27 @@ def conditions_mapped(values: DataFrame, names: DataFrame) -> DataFrame:
     typed = values.withColumn("words", condition(F.col("text"))).where(F.length("words") > 0)
     refs = names.withColumn("words", condition(F.col("name"))).where(F.length("words") > 0)
     squashed = F.replace(F.col("words"), F.lit(" "), F.lit(""))
-    kinds = lambda *forms: F.explode(F.array(*(F.struct(F.concat_ws("/", F.lit(k), "concept_type").alias("kind"), c.alias("key")) for k, c in forms))).alias("f")
-    typed_keys = typed.select("concept_type", "words", kinds(("plain", squashed), ("sorted", _sorted(F.col("words"))))).select("concept_type", "words", "f.*").distinct()
-    ref_keys = refs.select("code", F.col("words").alias("ref_words"), "concept_type", "name", kinds(("plain", squashed), ("sorted", _sorted(F.col("words"))), ("plain", telex(F.col("name"))))).select("code", "ref_words", "f.*").distinct()
+    kinds = lambda *forms: F.explode(F.array(*(F.struct(F.concat_ws("/", F.lit(k), "concept_type").alias("kind"), c.alias("key"), F.lit(typed_so).alias("keystrokes")) for k, c, typed_so in forms))).alias("f")
+    own = [("plain", squashed, False), ("sorted", _sorted(F.col("words")), False)]
+    typed_keys = typed.select("concept_type", "words", kinds(*own)).select("concept_type", "words", "f.kind", "f.key").distinct()
+    ref_keys = refs.select("code", F.col("words").alias("ref_words"), "concept_type", kinds(*own, ("plain", telex(F.col("name")), True))).select("code", "ref_words", "f.*").distinct()
     pairs = pigeonhole(typed_keys.select("kind", "key").distinct(), ref_keys.select("kind", "key").distinct())
     candidates = pairs.join(typed_keys.withColumnRenamed("key", "typed"), ["kind", "typed"]).join(ref_keys.withColumnRenamed("key", "reference"), ["kind", "reference"])
-    candidates = candidates.groupBy("concept_type", "words", "code", "ref_words").agg(F.min("distance").alias("distance"), F.min_by("reference", "distance").alias("reference"))
+    candidates = candidates.groupBy("concept_type", "words", "code", "ref_words", "keystrokes").agg(F.min("distance").alias("distance"))
     known = refs.select("concept_type", F.explode(F.split("words", " ")).alias("word")).distinct()
     in_words = typed.select("concept_type", "words").distinct().select("concept_type", "words", F.explode(F.array_distinct(F.split("words", " "))).alias("word"))
-    known_words = in_words.join(known.withColumn("known", F.lit(True)), ["concept_type", "word"], "left").where(F.col("known") | F.col("word").rlike("^([ivx]+|[0-9]+)$"))
+    known_words = in_words.join(known.withColumn("known", F.lit(True)), ["concept_type", "word"], "left").where(F.col("known") | F.col("word").rlike(NUMERAL))
     known_words = known_words.groupBy("concept_type", "words").agg(F.collect_set("word").alias("known_words"))
     candidates = candidates.join(known_words, ["concept_type", "words"], "left")
     mine, its = F.split("words", " "), F.split("ref_words", " ")
     strange = F.array_except(F.coalesce("known_words", F.array().cast("array<string>")), its)
     extra, missing = F.array_join(F.array_except(mine, its), ""), F.array_join(F.array_except(its, mine), "")
-    as_keys = F.col("reference") != F.replace(F.col("ref_words"), F.lit(" "), F.lit(""))  # typed as keystrokes: the words can't be compared
     # a slip may give another known word, if that is a letter away from the word it stands for and little else is wrong
-    slip = (F.size(strange) == 1) & (F.col("distance") <= 2) & F.exists(F.array_except(its, mine), lambda w: F.levenshtein(w, F.element_at(strange, 1)) <= 1)
-    near = as_keys | (F.col("distance") == 0) | ((F.abs(F.length(extra) - F.length(missing)) <= 2) & (F.levenshtein(extra, missing) * 2 <= F.length(missing)))
+    slip = (F.size(strange) == 1) & ~F.element_at(strange, 1).rlike(NUMERAL) & (F.col("distance") <= 2) & F.exists(F.array_except(its, mine), lambda w: F.levenshtein(w, F.element_at(strange, 1)) <= 1)
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    swapped = (F.levenshtein(extra, missing) <= 2) & (letters(extra) == letters(missing))
+    # words can't be compared with what was typed as keystrokes
+    near = F.col("keystrokes") | (F.col("distance") == 0) | swapped | ((F.abs(F.length(extra) - F.length(missing)) <= 2) & (F.levenshtein(extra, missing) * 2 <= F.length(missing)))
     fits = candidates.where(((F.size(strange) == 0) | F.when(F.size(strange) == 1, slip).otherwise(False)) & near)
     best = fits.groupBy("concept_type", "words").agg(F.min(F.struct("distance", "code")).alias("best"))
     return typed.select("concept_type", "text", "words").join(best, ["concept_type", "words"]).select("concept_type", "text", F.col("best.code").alias("code"))

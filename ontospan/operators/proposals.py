@@ -50,9 +50,10 @@ def found(line: Column, pattern: str) -> Column:
     return F.filter(F.flatten(bound), lambda m, i: i > 0)
 
 
-def in_lines(documents: DataFrame, pattern: str) -> DataFrame:
-    """(doc_id, line_no, line, start, line_start, a, b, c) of all matches in all lines."""
-    rows = lines(documents).where(F.length("line") > 0).select("doc_id", "line_no", "line", F.col("start").alias("line_start"), F.explode(found(F.col("line"), pattern)).alias("m"))
+def in_lines(documents: DataFrame, pattern: str, needs: str | None = None) -> DataFrame:
+    """(doc_id, line_no, line, start, line_start, a, b, c) of all matches in all lines; needs: a cheaper pattern that any line with a
+    match has a match of."""
+    rows = lines(documents).where(F.col("line").rlike(needs) if needs else F.length("line") > 0).select("doc_id", "line_no", "line", F.col("start").alias("line_start"), F.explode(found(F.col("line"), pattern)).alias("m"))
     return rows.select("doc_id", "line_no", "line", "line_start", (F.col("line_start") + F.col("m.start")).alias("start"), "m.a", "m.b", "m.c")
 
 
@@ -84,7 +85,7 @@ def drug_spans(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def _labs(documents: DataFrame, pattern: str, score: float) -> DataFrame:
-    rows = in_lines(documents, pattern)  # a result needs a digit, a sign in brackets or a worded finding, which few lines have
+    rows = in_lines(documents, pattern, rf"(?i)(?::|=|là)\s*{LAB_RESULT}" if pattern == LAB_PAIR else None)
     name = F.regexp_replace(F.regexp_replace("a", r"^[\s\-*•]+", ""), r"[\s.,;:]+$", "")
     lead = F.length("a") - F.length(F.regexp_replace("a", r"^[\s\-*•]+", ""))
     result = F.regexp_replace("c", r"^\s+|[\s.,;:]+$", "")

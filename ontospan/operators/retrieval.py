@@ -15,6 +15,7 @@ from ontospan.config import DIAGNOSIS, DRUG, LONG_LINE
 from ontospan.functions import rx
 from ontospan.functions.text import char_ngrams, condition_tokens, key_similarity, normalize_key
 from ontospan.operators import terminology
+from ontospan.session import cut
 
 # Rewrites of the names of conditions, the penalties of sources, codes and gates of single mentions.
 PREFIXES = r"^(?:chan doan mac benh|chan doan|duoc chan doan mac benh|duoc chan doan|mac benh|benh|theo doi|nghi ngo) "
@@ -64,8 +65,9 @@ def variants(text: Column, kind: Column) -> Column:
     ]
     listed = lambda pairs: F.array(*(F.struct(F.lit(s).alias("source"), k.alias("key")) for s, k in [("exact", key), *pairs]))
     every = F.when(kind == DRUG, listed(of_drug)).when(kind == DIAGNOSIS, listed(of_condition))
-    firsts = lambda x, i: (x["key"] != "") & (F.array_position(F.transform(every, lambda y: y["key"]), x["key"]) == i + 1)
-    return F.filter(every, firsts)
+    # bound to a variable by the outer transform, as it would be worked out for every element otherwise
+    firsts = lambda all_: F.filter(all_, lambda x, i: (x["key"] != "") & (F.array_position(F.transform(all_, lambda y: y["key"]), x["key"]) == i + 1))
+    return F.get(F.transform(F.array(every), firsts), 0)
 
 
 def with_adjustment(rows: DataFrame, query: str, candidate: str, into: str) -> DataFrame:
@@ -132,7 +134,8 @@ def preliminary(mentions: DataFrame, docs: DataFrame, most: int = 240, token_doc
 
 
 def lexical_scores(candidates: DataFrame, docs: DataFrame, with_sequence: bool = True) -> DataFrame:
-    """(text, alias, similarity): the exact score of preliminary pairs; pairs with too little in common get 0."""
+    """(text, alias, similarity): the exact score of preliminary pairs; pairs with too little in common get 0, and those that
+    stay below their threshold in any case may lack the share of the matching-block ratio."""
     pairs = candidates.join(docs.select("alias", "tokens", "grams", "codes"), "alias")
     q, g = F.array_distinct(condition_tokens(F.col("query"))), char_ngrams(F.col("query"))
     shared, shared_grams = F.size(F.array_intersect(q, F.col("tokens"))), F.size(F.array_intersect(g, F.col("grams")))
@@ -140,12 +143,15 @@ def lexical_scores(candidates: DataFrame, docs: DataFrame, with_sequence: bool =
     recall = over(shared, F.size(q))
     inside = F.col("alias").contains(F.col("query")) | F.col("query").contains(F.col("alias"))
     ratio = F.least(F.length("query"), F.length("alias")) / F.greatest(F.length("query"), F.length("alias"))
-    sequence = key_similarity(F.col("query"), F.col("alias")) if with_sequence else F.lit(0.0)
-    score = 0.34 * recall + 0.18 * over(shared, F.size("tokens")) + 0.16 * over(shared, F.size(F.array_union(q, F.col("tokens")))) + 0.18 * over(shared_grams, F.size(F.array_union(g, F.col("grams")))) + 0.14 * sequence + F.when(inside, 0.10).otherwise(0.0)
-    score = score - F.greatest(F.lit(0.0), 0.55 - ratio) * 0.12
+    base = 0.34 * recall + 0.18 * over(shared, F.size("tokens")) + 0.16 * over(shared, F.size(F.array_union(q, F.col("tokens")))) + 0.18 * over(shared_grams, F.size(F.array_union(g, F.col("grams")))) + F.when(inside, 0.10).otherwise(0.0)
+    base = base - F.greatest(F.lit(0.0), 0.55 - ratio) * 0.12
     little = ((shared == 0) & (shared_grams < 3)) | (~inside & (recall < 0.55))
     threshold = F.when(F.size(q) <= 2, 0.58).when(F.size(q) <= 4, 0.50).otherwise(0.46)
-    return pairs.select("text", "query", "alias", "codes", F.when(little, 0.0).otherwise(score).alias("similarity"), threshold.alias("threshold"))
+    scored = pairs.select("text", "query", "alias", "codes", F.when(~little, base).alias("base"), threshold.alias("threshold"))
+    # the ratio adds 0.14 at most: pairs that can't reach the threshold with it don't need it
+    reach = F.col("base") + 0.14 >= F.col("threshold")
+    sequence = F.coalesce(key_similarity(F.when(reach, F.col("query")), F.when(reach, F.col("alias"))), F.lit(0.0)) if with_sequence else F.lit(0.0)
+    return scored.select("text", "query", "alias", "codes", F.coalesce(F.col("base") + 0.14 * sequence, F.lit(0.0)).alias("similarity"), "threshold")
 
 
 def lexical_hits(mentions: DataFrame, kb: DataFrame, limit: int = 20) -> DataFrame:
@@ -174,8 +180,9 @@ def drug_hits(mentions: DataFrame, kb: DataFrame, limit: int = 30) -> DataFrame:
 
 def lookup(mentions: DataFrame, kb: DataFrame, limit: int = 5) -> DataFrame:
     """All hits of every distinct mention, best first: aliases, then what lexical search adds (for conditions only where aliases
-    gave fewer than limit)."""
-    exact = alias_hits(mentions, kb).select("concept_type", "text", "code", "source", "score", "priority")
+    gave fewer than limit). Distinct mentions and alias hits are written once, as several branches read them."""
+    mentions = cut(mentions.select("concept_type", "text").distinct())
+    exact = cut(alias_hits(mentions, kb).select("concept_type", "text", "code", "source", "score", "priority"))
     enough = exact.groupBy("concept_type", "text").agg(F.count("*").alias("n")).where(F.col("n") >= limit).where(F.col("concept_type") == DIAGNOSIS)
     searched = mentions.select("concept_type", "text").distinct().join(enough, ["concept_type", "text"], "left_anti")
     lexical = lexical_hits(searched, kb, max(limit * 4, 20)).unionByName(drug_hits(mentions, kb, max(limit * 4, 30)))

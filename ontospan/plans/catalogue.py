@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ontospan.plans import code_queries, data_jobs, eval_queries, note_queries, text_queries
+from ontospan.plans import code_queries, data_jobs, eval_queries, note_queries, pipeline, text_queries
 
-PARTS = [data_jobs, text_queries, note_queries, code_queries, eval_queries]
+PARTS = [data_jobs, text_queries, note_queries, code_queries, eval_queries, pipeline]
 
 
 def queries() -> dict:

@@ -148,6 +148,27 @@ def role_blocks(hits: DataFrame, lengths: DataFrame) -> DataFrame:
     return kept.withColumn("next", F.lead("start").over(order)).join(lengths, "doc_id").select("doc_id", "role", "start", F.coalesce("next", "n").alias("end"))
 
 
+def structural_blocks(documents: DataFrame) -> DataFrame:
+    """(doc_id, role, start, end): section headings and role lines as blocks; at one place the role line counts. A block that is
+    nothing but a heading becomes part of the one after it, in pairs from the first of a run of such blocks."""
+    from_sections = sections(documents).select("doc_id", "start", reduce(lambda c, kv: F.when(F.col("name") == kv[0], kv[1]).otherwise(c), SECTION_ROLE.items(), F.lit("document")).alias("role"), F.lit(0).alias("rank"))
+    hits = from_sections.unionByName(role_hits(documents).withColumn("rank", F.lit(1))).groupBy("doc_id", "start").agg(F.max_by("role", "rank").alias("role"))
+    lengths = documents.where(F.col("text").isNotNull()).select("doc_id", F.length("text").alias("n"))
+    per_doc = role_blocks(hits, lengths).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "role")).alias("bs"))
+    placed = documents.select("doc_id", "text").join(per_doc, "doc_id").select("doc_id", "text", F.inline("bs"))
+    value = F.regexp_replace(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")), r"^\s+|\s+$", "")
+    key = F.regexp_replace(F.regexp_replace(normalize_key(F.regexp_replace(value, r"^[*\- ]+|[*\- ]+$", "")), r"^\d+(?:\.\d+)*[.)/]?\s*", ""), r":+$", "")
+    titles = [*(m for _, ms in MAJOR.values() for m in ms), *HISTORY, *LABS, *DIAGNOSES, *TREATMENTS, *SYMPTOMS, *EVENTS]
+    bare = ~F.col("role").isin("question", "answer", "patient_case") & (F.length(value) <= 160) & ~value.contains("\n") & F.trim(key).isin(titles)
+    rows = placed.select("doc_id", "start", "end", "role", bare.alias("bare"))
+    order = W.partitionBy("doc_id").orderBy("start")
+    rows = rows.withColumn("island", F.row_number().over(order) - F.row_number().over(W.partitionBy("doc_id", "bare").orderBy("start"))).withColumn("next_end", F.lead("end").over(order)).withColumn("next_role", F.lead("role").over(order))
+    odd = F.row_number().over(W.partitionBy("doc_id", "bare", "island").orderBy("start")) % 2 == 1
+    rows = rows.withColumn("joins", F.col("bare") & odd & F.col("next_end").isNotNull())
+    rows = rows.withColumn("absorbed", F.coalesce(F.lag("joins").over(order), F.lit(False)))
+    return rows.where("NOT absorbed").select("doc_id", F.when(F.col("joins"), F.col("next_role")).otherwise(F.col("role")).alias("role"), "start", F.when(F.col("joins"), F.col("next_end")).otherwise(F.col("end")).alias("end"))
+
+
 def case_starts(documents: DataFrame) -> DataFrame:
     """(doc_id, start) of the lines at which another case begins; a boundary after nothing but administrative lines is none."""
     rows = lines(documents).select("doc_id", "line_no", (F.col("start") + F.length(F.regexp_extract("line", r"^\s*", 0))).alias("start"), F.trim("line").alias("line")).withColumn("key", normalize_key(F.col("line"))).where("key <> ''")

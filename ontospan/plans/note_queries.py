@@ -20,6 +20,10 @@ def note_roles(spark, sf):
     return notes.role_hits(table(spark, sf, "documents"))
 
 
+def structural_blocks(spark, sf):
+    return notes.structural_blocks(table(spark, sf, "documents"))
+
+
 def note_cases(spark, sf):
     return notes.case_starts(table(spark, sf, "documents"))
 
@@ -144,7 +148,7 @@ _tail = lambda k, n: f"right({k}, {n})"
 _fam = lambda k: f"regexp_matches({_tail(k, 180)}, '{assertions.FAMILY}')"
 _m = lambda c, p: f"regexp_matches({c}, '{p}')"
 _names = "|".join
-QUERIES = {f.__name__: f for f in (section_spans, note_roles, note_cases, word_repeats, extraction_loads, role_blocks, neighbour_context, packed_chunks, lexicon_spans, lexicon_resolved, type_counts, lab_values, order_lines, cued_conditions, drug_spans, lexicon_proposals, merged_spans, gated_spans, span_relations, unnested_spans, best_copies, context_flags, concept_problems)}
+QUERIES = {f.__name__: f for f in (section_spans, note_roles, structural_blocks, note_cases, word_repeats, extraction_loads, role_blocks, neighbour_context, packed_chunks, lexicon_spans, lexicon_resolved, type_counts, lab_values, order_lines, cued_conditions, drug_spans, lexicon_proposals, merged_spans, gated_spans, span_relations, unnested_spans, best_copies, context_flags, concept_problems)}
 SQL = {
     "section_spans": f"""WITH hits AS (SELECT doc_id, s + length(regexp_extract(line, '^[\\s:\\-*]*')) AS p, {_major} AS major, {_fallback} AS fallback FROM (SELECT *, {_K(_BARE)} AS key FROM {LINES}) WHERE key <> ''),
       kept AS (SELECT doc_id, p, CASE WHEN nm >= 2 THEN major WHEN major IS NULL THEN fallback END AS name FROM (SELECT *, count(major) OVER (PARTITION BY doc_id) AS nm FROM hits WHERE major IS NOT NULL OR fallback IS NOT NULL)),

@@ -59,7 +59,8 @@ def read_concepts(spark: SparkSession, folder: str) -> DataFrame:
     """(name, idx, text, type, position, assertions, candidates) of JSON files with a list of concepts, or an object with one."""
     files = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").text(folder, wholetext=True)
     stem = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1), r"\.json$", "")
-    listed = F.coalesce(F.from_json("value", f"array<struct<{CONCEPT_SCHEMA.replace(' ', ':').replace(',:', ',')}>>"), F.from_json("value", f"concepts array<struct<{CONCEPT_SCHEMA.replace(' ', ':').replace(',:', ',')}>>")["concepts"])
+    item = f"struct<{CONCEPT_SCHEMA.replace(' ', ':').replace(',:', ',')}>"
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{item}>")).otherwise(F.from_json("value", f"concepts array<{item}>")["concepts"])
     rows = files.select(stem.alias("name"), F.regexp_replace("value", "^﻿", "").alias("value"))
     return rows.select("name", F.posexplode(listed).alias("idx", "c")).select("name", "idx", "c.*")
 
@@ -114,7 +115,7 @@ def read_ontology_json(spark: SparkSession, path: str, system: str) -> DataFrame
     """The same of a JSON list, or an object with `entries`."""
     entry = "struct<code:string,rxcui:string,id:string,name:string,description:string,term:string,aliases:array<string>>"
     raw = spark.read.text(path, wholetext=True)
-    listed = F.coalesce(F.from_json("value", f"array<{entry}>"), F.from_json("value", f"entries array<{entry}>")["entries"])
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{entry}>")).otherwise(F.from_json("value", f"entries array<{entry}>")["entries"])
     rows = raw.select(F.explode(listed).alias("e"))
     return rows.select(F.lit(system).alias("system"), F.coalesce("e.code", "e.rxcui", "e.id").alias("code"), F.coalesce("e.description", "e.name", "e.term").alias("name"), F.coalesce("e.aliases", F.array().cast("array<string>")).alias("aliases")).where("code <> ''")
 

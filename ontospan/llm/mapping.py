@@ -127,16 +127,24 @@ def _sorted(words: Column) -> Column:
     return F.array_join(F.array_sort(F.split(words, " ")), "")
 
 
+def prepared(values: DataFrame, column: str, drug_type: str) -> DataFrame:
+    """values with what they are compared by: the words of conditions; name, amount and forms of drugs. Written once, as several
+    branches read it, and so that the long expressions stand in one short plan."""
+    text, is_drug = F.col(column), F.col("concept_type") == drug_type
+    forms = F.transform(F.split(spaced(text), " "), lambda w: reduce(lambda c, kv: F.when(w == kv[0], kv[1]).otherwise(c), FORMS.items(), F.lit(None).cast("string")))
+    parts = {"words": F.when(~is_drug, condition(text)), "keystrokes_of": F.when(~is_drug, telex(text)), "drug": F.when(is_drug, drug_name(text)), "amount": F.when(is_drug, strength(text)), "forms": F.when(is_drug, F.array_distinct(F.filter(forms, lambda x: x.isNotNull())))}
+    return cut(values.select(*values.columns, *(c.alias(n) for n, c in parts.items())))
+
+
 def conditions_mapped(values: DataFrame, names: DataFrame) -> DataFrame:
     """(concept_type, text, code) of conditions. An entry fits if all words that are known from entries are among its own, and
     what is left of both, if anything, differs by no more than half and is nearly of one length."""
-    typed = values.withColumn("words", condition(F.col("text"))).where(F.length("words") > 0)
-    refs = names.withColumn("words", condition(F.col("name"))).where(F.length("words") > 0)
+    typed, refs = values.where(F.length("words") > 0), names.where(F.length("words") > 0)
     squashed = F.replace(F.col("words"), F.lit(" "), F.lit(""))
     kinds = lambda *forms: F.explode(F.array(*(F.struct(F.concat_ws("/", F.lit(k), "concept_type").alias("kind"), c.alias("key"), F.lit(typed_so).alias("keystrokes")) for k, c, typed_so in forms))).alias("f")
     own = [("plain", squashed, False), ("sorted", _sorted(F.col("words")), False)]
     typed_keys = typed.select("concept_type", "words", kinds(*own)).select("concept_type", "words", "f.kind", "f.key").distinct()
-    ref_keys = refs.select("code", F.col("words").alias("ref_words"), "concept_type", kinds(*own, ("plain", telex(F.col("name")), True))).select("code", "ref_words", "f.*").distinct()
+    ref_keys = refs.select("code", F.col("words").alias("ref_words"), "concept_type", kinds(*own, ("plain", F.col("keystrokes_of"), True))).select("code", "ref_words", "f.*").distinct()
     pairs = pigeonhole(typed_keys.select("kind", "key").distinct(), ref_keys.select("kind", "key").distinct())
     candidates = pairs.join(typed_keys.withColumnRenamed("key", "typed"), ["kind", "typed"]).join(ref_keys.withColumnRenamed("key", "reference"), ["kind", "reference"])
     candidates = candidates.groupBy("concept_type", "words", "code", "ref_words", "keystrokes").agg(F.min("distance").alias("distance"))
@@ -162,9 +170,8 @@ def conditions_mapped(values: DataFrame, names: DataFrame) -> DataFrame:
 def drugs_mapped(values: DataFrame, names: DataFrame) -> DataFrame:
     """(concept_type, text, code) of drugs: the nearest names are found without the amount, then the amount must be equal; of
     several entries one in the form that is typed comes first."""
-    forms = lambda text: F.array_distinct(F.filter(F.transform(F.split(spaced(text), " "), lambda w: reduce(lambda c, kv: F.when(w == kv[0], kv[1]).otherwise(c), FORMS.items(), F.lit(None).cast("string"))), lambda x: x.isNotNull()))
-    typed = values.select("concept_type", "text", drug_name(F.col("text")).alias("typed"), strength(F.col("text")).alias("amount"), forms(F.col("text")).alias("typed_forms")).where("length(typed) > 0 AND amount IS NOT NULL")
-    refs = names.select("concept_type", "code", drug_name(F.col("name")).alias("reference"), strength(F.col("name")).alias("amount"), forms(F.col("name")).alias("ref_forms")).where("length(reference) > 0").distinct()
+    typed = values.where("length(drug) > 0 AND amount IS NOT NULL").select("concept_type", "text", F.col("drug").alias("typed"), "amount", F.col("forms").alias("typed_forms"))
+    refs = names.where("length(drug) > 0").select("concept_type", "code", F.col("drug").alias("reference"), "amount", F.col("forms").alias("ref_forms")).distinct()
     pairs = pigeonhole(typed.select(F.col("concept_type").alias("kind"), F.col("typed").alias("key")).distinct(), refs.select(F.col("concept_type").alias("kind"), F.col("reference").alias("key")).distinct())
     nearest = pairs.groupBy("kind", "typed").agg(F.min("distance").alias("distance")).join(pairs, ["kind", "typed", "distance"]).withColumnRenamed("kind", "concept_type")
     hits = typed.join(nearest, ["concept_type", "typed"]).join(refs, ["concept_type", "reference", "amount"])
@@ -177,8 +184,9 @@ def mapped(values: DataFrame, kb: DataFrame, drug_type: str = DRUG) -> DataFrame
 
     Null types and texts mean nothing. Of several fitting entries the nearest, then the smallest code, is taken.
     """
-    distinct = values.select("concept_type", "text").where(F.col("text").isNotNull() & F.col("concept_type").isNotNull()).distinct()
-    names = entry_names(kb)
+    known = F.col("concept_type").isNotNull()
+    distinct = prepared(values.select("concept_type", "text").where(F.col("text").isNotNull() & known).distinct(), "text", drug_type)
+    names = prepared(entry_names(kb).where(known), "name", drug_type)
     is_drug = F.col("concept_type") == drug_type
     return conditions_mapped(distinct.where(~is_drug), names.where(~is_drug)).unionByName(drugs_mapped(distinct.where(is_drug), names.where(is_drug)))
 

@@ -139,9 +139,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def span_iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
-    """Overlap by hull length; 0 for disjoint and empty spans."""
+    """Overlap by hull length; 0 for disjoint and empty spans, null if a bound is."""
     overlap = F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2))
-    return F.when(overlap == 0, 0.0).otherwise(overlap / (F.greatest(e1, e2) - F.least(s1, s2)))
+    known = s1.isNotNull() & e1.isNotNull() & s2.isNotNull() & e2.isNotNull()
+    return F.when(~known, None).when(overlap == 0, 0.0).otherwise(overlap / (F.greatest(e1, e2) - F.least(s1, s2)))
 
 
 def confidence(c: Column, default: float = 0.75) -> Column:

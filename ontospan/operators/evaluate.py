@@ -41,10 +41,11 @@ def scored_pairs(gold: DataFrame, predicted: DataFrame, least: float = 0.25) ->
 
     def met(df: DataFrame, side: str) -> DataFrame:
         rows = df.select("doc_id", "type", F.struct("idx", "start", "end", words(F.col("text")).alias("words")).alias(side), stretches.alias("s"))
-        return rows.select("doc_id", "type", side, F.explode(F.array_distinct(F.concat("s", f"{side}.words"))).alias("meet"))
+        return rows.select("doc_id", "type", side, F.explode(F.array_distinct(F.concat(F.coalesce("s", F.array().cast("array<string>")), f"{side}.words"))).alias("meet"))
 
     pairs = met(gold, "g").join(met(predicted, "p"), ["doc_id", "type", "meet"]).drop("meet").distinct()
-    score = 0.7 * span_iou(F.col("g.start"), F.col("g.end"), F.col("p.start"), F.col("p.end")) + 0.3 * token_score(F.col("g.words"), F.col("p.words"))
+    overlap = F.coalesce(span_iou(F.col("g.start"), F.col("g.end"), F.col("p.start"), F.col("p.end")), F.lit(0.0))  # a null place overlaps nothing
+    score = 0.7 * overlap + 0.3 * token_score(F.col("g.words"), F.col("p.words"))
     return pairs.select("doc_id", F.col("g.idx").alias("gold_index"), F.col("p.idx").alias("pred_index"), F.round(score, 9).alias("score")).where(F.col("score") >= least)
 
 

@@ -9,7 +9,7 @@ from ontospan.config import DIAGNOSIS, DRUG
 from ontospan.functions.text import normalize_key
 from ontospan.operators import policy, retrieval, terminology
 from ontospan.plans import sql
-from ontospan.plans.text_queries import STOPS, table
+from ontospan.plans.text_queries import INGREDIENT, STOPS, table
 
 
 def _kb(spark, sf) -> DataFrame:
@@ -122,6 +122,7 @@ SQL = {
     "alias_support": f"SELECT code, count(*) AS n_aliases FROM {_INDEX} WHERE concept_type = '{DRUG}' GROUP BY code",
     "united_records": "WITH e AS (SELECT 0 AS n, concept_type, lower(record_name) AS code, record_name, priority, aliases FROM kb_records UNION ALL SELECT 1, concept_type, term, term, frequency, [] FROM lexicon) SELECT concept_type, code, arg_min(record_name, (n, record_name, priority)) AS record_name, arg_min(priority, (n, record_name, priority)) AS priority, array_to_string(list_sort(list_distinct(flatten(list(coalesce(aliases, []))))), '|') AS aliases FROM e GROUP BY 1, 2",
     "token_postings": f"WITH r AS (SELECT alias, unnest(tokens) AS item FROM {_DOCS}) SELECT item, alias, round(ln(1 + 1 / df), 6) AS idf FROM r JOIN (SELECT item, count(*) AS df FROM r GROUP BY 1) USING (item) WHERE df <= 1600",
+    "drug_postings": f"SELECT DISTINCT code, lookup_key FROM (SELECT code, unnest(list_concat([{INGREDIENT}], list_transform(regexp_extract_all(record_name, '\\[([^\\]]+)\\]', 1), lambda t: {_K('t')}))) AS lookup_key FROM (SELECT code, record_name, {sql.tokens(sql.rx('record_name'))} AS w FROM kb_records WHERE concept_type = '{DRUG}')) WHERE length(lookup_key) >= 3",
     "exact_lookup": f"SELECT m.concept_type, text, code, rank FROM (SELECT *, {_K('text')} AS alias_norm FROM {_MENTIONS}) m JOIN {_INDEX} USING (concept_type, alias_norm)",
     "emitted_codes": f"""WITH rules AS (SELECT concept_type, {_K('term')} AS alias_norm, CASE WHEN term_id % 2 = 0 THEN ['isHistorical'] END AS flags, arg_max(CASE WHEN term_id % 3 = 0 THEN []::VARCHAR[] ELSE ['T' || term_id] END, term_id) AS codes FROM lexicon WHERE concept_type IN ('{DIAGNOSIS}', '{DRUG}') GROUP BY ALL),
       c AS (SELECT DISTINCT concept_id, concept_type, {_K('text')} AS alias_norm, list_sort(list_distinct(coalesce(assertions, []))) AS flags, candidates FROM concepts WHERE concept_type IN ('{DIAGNOSIS}', '{DRUG}'))

@@ -119,12 +119,19 @@ _J = lambda a, b: f"(CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THE
 _L = "(SELECT c.*, coalesce(d.case_id, '?') AS file FROM (SELECT DISTINCT concept_id, doc_id, idx, text, concept_type, char_position, assertions, candidates FROM concepts) c JOIN documents d USING (doc_id))"
 _SETS = f"(SELECT concept_type, {_K('text')} AS alias_norm, list_sort(list_distinct(candidates)) AS codes, count(*) AS support FROM {_L} WHERE candidates IS NOT NULL AND {_K('text')} <> '' GROUP BY ALL)"
 _BAG = lambda g, i: f"(SELECT {g}, sum(least(x, y)) AS tp, sum(greatest(0, y - x)) AS fp, sum(greatest(0, x - y)) AS fn FROM (SELECT {g}, {i}, count(*) FILTER (k = 0) AS x, count(*) FILTER (k = 1) AS y FROM (SELECT doc_id, type, s, e, 0 AS k FROM {_G} UNION ALL SELECT doc_id, type, s, e, 1 FROM {_P}) GROUP BY ALL) GROUP BY {g})"
+_W = lambda c: sql.tokens(_K(f"coalesce({c}, '')"))
+_letters = lambda x: f"array_to_string(list_transform({x}, lambda t: chr(CAST(40 + list_position(k, t) AS INT))), '')"
+_LIKE = f"CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE greatest(0.0, 1 - levenshtein({_letters('a')}, {_letters('b')})::DOUBLE / len(a)) END"
+_OVER = "greatest(0, least(ge, pe) - greatest(gs, ps))"
+_MATCH = f"(SELECT doc_id, gold_index, pred_index, round(0.7::DOUBLE * CASE WHEN gs IS NULL OR ps IS NULL OR {_OVER} = 0 THEN 0.0::DOUBLE ELSE {_OVER}::DOUBLE / (greatest(ge, pe) - least(gs, ps)) END + 0.3::DOUBLE * ({_LIKE}), 9) AS score FROM (SELECT *, list_distinct(list_concat(a, b)) AS k FROM (SELECT g.doc_id, g.idx AS gold_index, p.idx AS pred_index, g.s AS gs, g.e AS ge, p.s AS ps, p.e AS pe, {_W('g.text')} AS a, {_W('p.text')} AS b FROM {_G} g JOIN {_P} p ON g.doc_id = p.doc_id AND g.type = p.type)) WHERE score >= 0.25)"
 QUERIES = {f.__name__: f for f in (bag_counts, type_quality, set_scores, mapping_outcomes, match_pairs, greedy_matches, document_scores, corpus_score, alias_statistics, set_distribution, preferred_sets, learned_rules, phrase_lexicon, majority_types, supplemental_codes, restored_codes)}
 SQL = {
     "bag_counts": f"SELECT doc_id, tp, fp, fn FROM {_BAG('doc_id', 'type, s, e')}",
     "type_quality": f"SELECT type, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM {_BAG('type', 'doc_id, s, e')})",
     "set_scores": f"SELECT type, count(*) AS n, round(avg(CASE WHEN list_sort(list_distinct(e)) = list_sort(list_distinct(p)) THEN 1 ELSE 0 END), 6) AS exact, round(avg(j), 6) AS mean_jaccard, round(sum(j * w) / sum(w), 6) AS weighted_jaccard, round(avg(CASE WHEN len(p) > 0 THEN 1 ELSE 0 END), 6) AS nonempty FROM (SELECT type, e, p, {_J('e', 'p')} AS j, len(list_distinct(e)) + 1 AS w FROM {_PAIRED}) GROUP BY type",
     "mapping_outcomes": f"""SELECT type, outcome, count(*) AS n FROM (SELECT type, CASE WHEN len(e) = 0 THEN CASE WHEN len(p) = 0 THEN 'correct_abstain' ELSE 'false_positive' END WHEN list_sort(list_distinct(e)) = list_sort(list_distinct(p)) THEN 'exact' WHEN list_has_any(e, p) THEN 'partial' WHEN NOT list_has_any(e, (SELECT list(DISTINCT code) FROM kb_records k WHERE k.concept_type = x.type)) THEN 'kb_missing' WHEN len(p) = 0 THEN 'retrieval_miss' ELSE 'retrieval_wrong' END AS outcome FROM {_PAIRED} x) GROUP BY GROUPING SETS ((type, outcome), (outcome))""",
+    "match_pairs": f"SELECT doc_id, gold_index, pred_index, round(score, 6) AS score FROM {_MATCH}",
+    "greedy_matches": f"SELECT doc_id, x.g AS gold_index, x.p AS pred_index FROM (SELECT doc_id, unnest(list_reduce(list_transform(list_sort(list(struct_pack(o := -score, g := gold_index, p := pred_index))), lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.g = x[1].g OR y.p = x[1].p)) = 0 THEN list_concat(acc, x) ELSE acc END)) AS x FROM {_MATCH} GROUP BY doc_id)",
     "alias_statistics": f"WITH r AS (SELECT concept_type, {_K('text')} AS alias_norm, file, unnest(list_distinct(candidates)) AS code FROM {_L} WHERE candidates IS NOT NULL) SELECT *, row_number() OVER (PARTITION BY concept_type, alias_norm ORDER BY support DESC, file_support DESC, code) AS rank FROM (SELECT concept_type, alias_norm, code, count(*) AS support, count(DISTINCT file) AS file_support FROM r WHERE alias_norm <> '' GROUP BY ALL)",
     "set_distribution": f"SELECT concept_type, alias_norm, array_to_string(codes, '|') AS codes, support FROM {_SETS}",
     "preferred_sets": f"""WITH d AS (SELECT * FROM {_SETS}), c AS (SELECT concept_type, alias_norm, codes AS choice FROM d UNION SELECT concept_type, alias_norm, []::VARCHAR[] FROM d), u AS (SELECT concept_type, alias_norm, choice, round(sum(support * (len(codes) + 1) * {_J('codes', 'choice')}), 6) AS utility FROM c JOIN d USING (concept_type, alias_norm) GROUP BY ALL)

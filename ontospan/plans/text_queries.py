@@ -137,7 +137,9 @@ NOTE = "(SELECT DISTINCT concept_id, char_position[1] AS s, char_position[2] AS
 LINES = "(SELECT doc_id, i - 1 AS line_no, parts[i] AS line, coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x) + 1)), 0) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL), unnest(range(1, len(parts) + 1)) AS r(i))"
 _in = lambda words: ", ".join(f"'{w}'" for w in words)
 _until = lambda stop: f"array_to_string(w[1:coalesce(list_position(list_transform(w, lambda t: {stop}), true), len(w) + 1) - 1], ' ')"
-_STRENGTH = f"list_distinct(list_transform(regexp_extract_all(rx, '{rx.STRENGTH}'), lambda t: replace(replace(t, ',', '.'), ' ', '')))"
+INGREDIENT = _until(f"t IN ({_in(rx.FORMS + rx.ROUTES + rx.FREQUENCIES + rx.COUNTS)}) OR regexp_matches(t, '[0-9]')")
+_UNIT = "(mg|g|mcg|ml|iu|unit|units|%)"
+_CANONICAL = f"CASE WHEN regexp_full_match(t, '[0-9]+([.][0-9]+)?{_UNIT}') THEN regexp_replace(regexp_replace(CAST(CAST(CAST(regexp_extract(t, '^[0-9.]+') AS DECIMAL(24, 6)) * CASE WHEN regexp_extract(t, '[a-z%]+$') = 'g' THEN 1000 ELSE 1 END AS DECIMAL(30, 6)) AS VARCHAR), '0+$', ''), '[.]$', '') || CASE WHEN regexp_extract(t, '[a-z%]+$') = 'g' THEN 'mg' ELSE regexp_extract(t, '[a-z%]+$') END ELSE t END"
 SQL = {
     "norm_key": f"SELECT doc_id, {K('text')} AS key FROM documents",
     "compact_key_counts": f"SELECT regexp_replace({K('text')}, '[^a-z0-9]+', '', 'g') AS key, count(*) AS n FROM concepts GROUP BY 1",
@@ -154,6 +156,7 @@ SQL = {
     "natural_names": "SELECT DISTINCT case_id, coalesce(try_cast(regexp_extract(case_id, '[0-9]+') AS BIGINT), 1000000000) AS number FROM documents WHERE case_id IS NOT NULL",
     "rx_forms": f"SELECT text, rx, trim(regexp_replace(regexp_replace(rx, '\\s+x\\s*\\d+(?:\\s+(?:ngay|day|days))?\\b.*$', '', 'g'), '\\s+', ' ', 'g')) AS no_count FROM (SELECT text, {sql.rx('text')} AS rx FROM {DRUGS})",
     "rx_prefixes": f"SELECT text, {_until(f'string_split(t, chr(58))[1] IN ({_in(rx.ROUTES + rx.FREQUENCIES)}) OR t IN ({_in(rx.COUNTS)}) OR regexp_full_match(t, chr(113) || chr(92) || chr(100) || chr(43) || chr(104) || chr(58) || chr(63) || chr(112) || chr(114) || chr(110) || chr(63))')} AS core, {_until(f'''t IN ({_in(rx.FORMS + rx.ROUTES + rx.FREQUENCIES + rx.COUNTS)}) OR regexp_matches(t, '[0-9]')''')} AS ingredient, array_to_string(w[coalesce(list_position(list_transform(w, lambda t: NOT (regexp_matches(t, '[0-9]') OR t IN ({_in(rx.UNITS + rx.ROUTES + rx.COUNTS)}) OR string_split(t, ':')[1] IN ({_in(rx.FREQUENCIES)}))), true), len(w) + 1):], ' ') AS rest FROM (SELECT text, {sql.tokens(sql.rx('text'))} AS w FROM {DRUGS})",
+    "rx_strengths": f"SELECT text, array_to_string(list_sort(list_distinct(list_transform(list_transform(regexp_extract_all({sql.rx('text')}, '{rx.STRENGTH}'), lambda t: replace(replace(t, ',', '.'), ' ', '')), lambda t: {_CANONICAL}))), '|') AS strengths FROM {DRUGS}",
     "event_values": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
     "event_props": "SELECT name, json_extract_string(props, '$.' || name) AS value, count(*) AS n FROM (SELECT props, unnest(json_keys(props)) AS name FROM events) GROUP BY 1, 2",
 }

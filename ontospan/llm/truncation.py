@@ -4,8 +4,8 @@ Method, in SQL alone: word trigrams are counted inside texts, by what follows th
 end of a line), and at the ends of texts. The final trigram of every text is joined to the counts. A final trigram that goes
 on, or ends with a full stop, nearly everywhere else was cut; so was a last word that elsewhere, in its place, is only
 ever the beginning of longer words. Words are compared without case, accents and digits; an ellipsis at the end counts as
-nothing, since some sources put one where they cut. The texts are read twice: once for their last
-lines, once for the counts.
+nothing, since some sources put one where they cut. Copies of one text count once, so that they don't vouch for each other.
+The texts are read twice: once for their last lines, once for the counts, for which they are shuffled.
 """
 
 from __future__ import annotations
@@ -90,12 +90,15 @@ def ends(documents: DataFrame) -> DataFrame:
 
     lines = F.filter(F.split("text", r"[\r\n]+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
 
-    def tokens(text: Column) -> DataFrame:
+    def tokens(text: Column, once: bool = False) -> DataFrame:
         rows = documents.select("doc_id", "source", folded(text).alias("folded_text"), "text")
+        if once:  # whichever document a text came with, the counts don't need it
+            rows = rows.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.rtrim("folded_text").alias("folded_text")).distinct()
+            rows = rows.select(F.lit(0).alias("doc_id"), F.lit("").alias("source"), "folded_text", F.col("folded_text").alias("text"))
         return spark_sql(TOKENS.replace("{token}", TOKEN.replace("\\", "\\\\")).replace("{folded}", "folded_text"), documents=rows)
 
     finals = cut(spark_sql(FINALS, tokens=tokens(F.try_element_at(lines, F.lit(-1)))))
-    near2 = cut(spark_sql(FOLLOWED, tokens=tokens(F.col("text"))).join(finals.select("prev").distinct(), "prev", "left_semi"))
+    near2 = cut(spark_sql(FOLLOWED, tokens=tokens(F.col("text"), once=True)).join(finals.select("prev").distinct(), "prev", "left_semi"))
     near3 = near2.join(finals.select("ctx").distinct(), "ctx", "left_semi")
     longer3, longer2 = (spark_sql(PREFIXES.replace("{key}", k), followed=near) for k, near in (("ctx", near3), ("prev", near2)))
     return spark_sql(VERDICT, finals=finals, followed=near2, longer3=longer3, longer2=longer2)

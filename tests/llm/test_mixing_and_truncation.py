@@ -48,3 +48,13 @@ def test_truncation(spark):
     got = {r.doc_id for r in truncation.ends(df).where("truncated").collect()}
     assert got == set(cut)
     assert truncation.ends(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("k", [2, 60])
+def test_copies_of_a_truncated_text_do_not_vouch_for_each_other(spark, k):
+    prose = "Bệnh nhân vào viện vì đau bụng khoảng {} ngày nay, kèm vã mồ hôi."
+    whole = [f"{prose.format(i)}\n{end}" for i in range(40) for end in ("Hết phiếu", prose.format(3))]
+    cut = ["a.\nHẹn tái khám theo lịch tại phòng", "b.\n" + prose.format(5)[:44]]  # a trigram found nowhere else; a word cut off
+    rows = [(i, "s", t) for i, t in enumerate(whole)] + [(1000 + 100 * n + i, "s", t) for n, t in enumerate(cut) for i in range(k)] + [(1000, "s", cut[0])]
+    got = {r.doc_id for r in truncation.ends(spark.createDataFrame(rows, "doc_id long, source string, text string")).where("truncated").collect()}
+    assert got == {1000 + 100 * n + i for n in range(len(cut)) for i in range(k)}

@@ -15,23 +15,51 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ontospan.config import TYPES, env
 from ontospan.functions.visual import consistent
 
 Proposer = Callable[[list[dict]], list[str]]
+# a word with its accents, or another character but a blank
+WORD, WITHIN = re.compile(r"\w[\w\u0300-\u036f]*|[^\w\s]"), re.compile(r"[\w\u0300-\u036f]")
 WRAPPERS = ("mentions", "medical_mentions", "entities", "result", "output", "data")
 
 
 def lexicon_proposer(terms: dict[str, str]) -> Proposer:
-    """Deterministic: quotes every occurrence of the given terms (term to type)."""
-    pattern = re.compile("|".join(re.escape(t) for t in sorted(terms, key=lambda t: (-len(t), t))), re.IGNORECASE) if terms else None
-    types = {t.lower(): k for t, k in terms.items()}
-
-    def propose(chunks: list[dict]) -> list[str]:
-        return [json.dumps({"mentions": [[m.group(0), types[m.group(0).lower()]] for m in pattern.finditer(c["text"])] if pattern else []}, ensure_ascii=False) for c in chunks]
-
-    return propose
+    """Deterministic: quotes every occurrence of the given terms (term to type) as whole words, in any letter case; the longest
+    term counts where several begin, and none begins within another.
+
+    Terms are looked up by their first word, so the work grows with the text and not with the number of terms.
+    """
+    low = lambda text: "".join(x if len(x := c.lower()) == 1 else c for c in text)  # offsets must hold
+    by_word: dict[str, list[tuple[str, str]]] = {}
+    for term, kind in sorted(terms.items(), key=lambda t: (-len(t[0]), t[0])):
+        if first := WORD.match(low(term)):
+            by_word.setdefault(first[0], []).append((low(term), kind))
+
+    def found(text: str) -> list[list]:
+        lowered, end, out = low(text), 0, []
+        for m in WORD.finditer(lowered):
+            if m.start() < end:
+                continue
+            for term, kind in by_word.get(m[0], ()):
+                stop = m.start() + len(term)
+                if lowered.startswith(term, m.start()) and not (WITHIN.match(term[-1]) and WITHIN.match(lowered, stop)):
+                    quote, end = text[m.start() : stop], stop
+                    # which of the places of the quote it is, as others may lie within longer terms or words
+                    at = [x for x, _ in places(text, quote)]
+                    out.append([quote, kind, at.index(m.start()) if m.start() in at else None])
+                    break
+        return out
+
+    return lambda chunks: [json.dumps({"mentions": found(c["text"])}, ensure_ascii=False) for c in chunks]
+
+
+def lexicon_terms(lexicon: DataFrame) -> dict[str, str]:
+    """All terms with their type, the first in order where one has several; the lexicon doesn't grow with the data."""
+    rows = lexicon.where("term IS NOT NULL").groupBy("term").agg(F.min("concept_type").alias("type"))
+    return {r.term: r.type for r in rows.collect()}
 
 
 def replay_proposer(answers: dict[str, str]) -> Proposer:

@@ -85,7 +85,7 @@ def drug_spans(spark, sf):
 
 def lexicon_proposals(spark, sf):
     """What the deterministic proposer says about chunks."""
-    terms = {r.term: r.concept_type for r in table(spark, sf, "lexicon").where("frequency >= 40").collect()}  # the lexicon doesn't grow
+    terms = proposer.lexicon_terms(table(spark, sf, "lexicon"))
     return proposer.proposed(_chunks(spark, sf), proposer.lexicon_proposer(terms)).select("doc_id", "chunk_id", "start", "end", "type", "reason")
 
 

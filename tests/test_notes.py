@@ -158,3 +158,13 @@ def test_retry_after():
 def test_empty_documents(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert notes.sections(none).count() == notes.role_hits(none).count() == proposals.lab_spans(none).count() == chunking.packed(none).count() == 0
+
+
+def test_the_lexicon_proposer_quotes_all_terms_where_they_stand(spark, tmp_path):
+    from ontospan.plans import note_queries
+
+    text = "Ho khan, cho uống; HO nhiều. Suy tim"
+    spark.createDataFrame([("ho khan", SYMPTOM, 90), ("ho", SYMPTOM, 80), ("suy tim", DIAGNOSIS, 1)], "term string, concept_type string, frequency long").write.parquet(str(tmp_path / "lexicon.parquet"))
+    spark.createDataFrame([(1, 1, 10, text)], "doc_id long, chunk_id long, start_pos int, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    rows = note_queries.lexicon_proposals(spark, str(tmp_path)).orderBy("start").collect()
+    assert [(text[r.start - 10 : r.end - 10], r.start, r.type, r.reason) for r in rows] == [("Ho khan", 10, SYMPTOM, "ok"), ("HO", 29, SYMPTOM, "ok"), ("Suy tim", 39, DIAGNOSIS, "ok")]

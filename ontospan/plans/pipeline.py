@@ -6,23 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontospan.config import CODED, FLAGS, Settings
-from ontospan.functions.text import normalize_key
-from ontospan.operators import assertions, chunking, policy, proposals, proposer, retrieval, spans
+from ontospan.functions.text import line_after, line_before, line_length, line_profile, normalize_key
+from ontospan.operators import assertions, chunking, notes, policy, proposals, proposer, retrieval, spans
 from ontospan.session import cut
 
+# Roles in which rule spans need the second proposer.
+UNCONFIRMED = ["question", "answer", "medical_article"]
 
-def annotated(documents: DataFrame, lexicon: DataFrame, kb: DataFrame, ask: proposer.Proposer | None = None, settings: Settings | None = None) -> DataFrame:
-    """(doc_id, start, end, text, type, assertions, candidates): rule and model proposals merged, flagged, coded and refined.
 
+def annotated(documents: DataFrame, lexicon: DataFrame, kb: DataFrame, ask: proposer.Proposer | None = None, settings: Settings | None = None, rules: DataFrame | None = None) -> DataFrame:
+    """(doc_id, start, end, text, type, assertions, candidates): rule and model proposals gated, merged, flagged, coded and refined.
+
+    ask: the second proposer, by default the one that the settings name; rules: the emission policy (policy.rules), if there is one.
     Steps that need no more than the spans run on narrow rows; the note's text is joined back once, per document.
     """
     settings = settings or Settings()
-    cols = ["doc_id", "start", "end", "type", "score", "source"]
-    found = proposals.all_rules(documents, lexicon).withColumn("source", F.lit("rule")).select(*cols)
-    if ask is not None:
-        chunks = chunking.packed(documents, settings.chunk_chars, settings.chunk_load).withColumnRenamed("chunk_no", "chunk_id")
-        said = proposer.proposed(chunks, ask).where("reason = 'ok'")
-        found = found.unionByName(said.select("doc_id", "start", "end", "type", F.col("confidence").alias("score"), F.lit("llm").alias("source")))
+    if ask is None:
+        if settings.proposer != "lexicon":
+            raise ValueError(f"give ask: no proposer is built in by the name {settings.proposer}")
+        ask = proposer.lexicon_proposer(proposer.lexicon_terms(lexicon))
+    cols = ["doc_id", "start", "end", "type", "score"]
+    chunks = chunking.packed(documents, settings.chunk_chars, settings.chunk_load).withColumnRenamed("chunk_no", "chunk_id")
+    said = proposer.proposed(chunks, ask).where("reason = 'ok'").select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "type", F.col("confidence").alias("score"))
+    said = cut(said)  # read by the gate and the merge
+    blocks = cut(notes.structural_blocks(documents))
+    placed = blocks.select("doc_id", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), F.col("role").alias("structure_role"))
+    resolved = cut(spans.resolve_overlaps(proposals.all_rules(documents, lexicon)))
+    gated = spans.gate(resolved, placed, said, UNCONFIRMED)
+    found = gated.select(*cols, F.lit("rule").alias("source")).unionByName(said.select(*cols, F.lit("llm").alias("source")))
     merged = spans.drop_nested(spans.merge_proposals(found))
     per_doc = merged.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "type")).alias("xs"))
     placed = documents.select("doc_id", F.col("text").alias("note")).join(per_doc, "doc_id").select("doc_id", "note", F.explode("xs").alias("x")).select("doc_id", "note", "x.*")
@@ -33,12 +44,24 @@ def annotated(documents: DataFrame, lexicon: DataFrame, kb: DataFrame, ask: prop
     key = normalize_key(text)
     near = lambda a, b: normalize_key(F.substring("note", F.greatest(F.lit(1), F.col("start") - a + 1), F.least(F.lit(a), F.col("start")))) if b else normalize_key(F.substring("note", F.col("end") + 1, F.lit(a)))
     rows = flagged.withColumn("text", text).where(~policy.dropped(F.col("type"), key, near(35, True), near(12, False)))
-    rows = rows.select("doc_id", "start", "end", "text", "type", policy.repaired_flags(F.col("type"), listed).alias("assertions"))
+    at = F.col("note"), F.col("start"), F.col("end")
+    line_chars, prefix = line_length(*at), line_before(*at[:2])
+    line = normalize_key(F.concat(prefix, text, line_after(at[0], at[2])))
+    called_for = policy.contextual(F.col("type"), key, *at, normalize_key(prefix), line, F.col("historical"))
+    rows = rows.select(
+        "doc_id", "start", "end", "text", "type", policy.repaired_flags(F.col("type"), listed).alias("assertions"), key.alias("alias_norm"),
+        line_profile(line_chars).alias("profile"), retrieval.eligible(F.col("type"), key, line_chars).alias("eligible"), called_for.alias("called_for"),
+    )
     rows = cut(rows)  # narrow: the note's text is gone by now
-    mentions = rows.where(F.col("type").isin(*CODED)).select(F.col("type").alias("concept_type"), "text").distinct()
+    mentions = rows.where(F.col("type").isin(*CODED) & F.col("eligible")).select(F.col("type").alias("concept_type"), "text").distinct()
     codes = retrieval.select_codes(retrieval.lookup(mentions, kb, settings.lookup_limit), kb).withColumnRenamed("concept_type", "type")
-    out = rows.join(codes, ["type", "text"], "left").withColumn("code", F.when(F.col("type").isin(*CODED), retrieval.overridden(F.col("text"), F.col("code"))))
-    return out.select("doc_id", "start", "end", "text", "type", "assertions", F.when(F.col("type").isin(*CODED), F.filter(F.array("code"), lambda x: x.isNotNull())).alias("candidates"))
+    code = F.when(F.col("eligible"), retrieval.overridden(F.col("text"), F.col("code")))
+    out = rows.join(codes, ["type", "text"], "left").withColumn("candidates", F.when(F.col("type").isin(*CODED), F.filter(F.array(code), lambda x: x.isNotNull())))
+    out = out.withColumnRenamed("type", "concept_type")
+    out = (policy.applied(out, rules) if rules is not None else out.withColumn("emitted", F.col("candidates"))).withColumnRenamed("concept_type", "type")
+    # nothing emitted stays nothing, whatever the words around it
+    emitted = F.when((F.size("emitted") > 0) & F.col("called_for").isNotNull(), F.array("called_for")).otherwise(F.col("emitted"))
+    return out.select("doc_id", "start", "end", "text", "type", "assertions", emitted.alias("candidates"))
 
 
 def concepts(spark: SparkSession, sf: str) -> DataFrame:

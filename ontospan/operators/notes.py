@@ -180,6 +180,18 @@ def case_starts(documents: DataFrame) -> DataFrame:
     return counted.withColumn("before", F.lag("said").over(order)).where("before IS NULL OR said > before").select("doc_id", "start")
 
 
+def with_parts(spans: DataFrame, documents: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """spans (doc_id, start, ...) with the role, section and case_start of where they begin; 0 before the first case. Blocks are
+    structural_blocks, if they are at hand. Parts are gathered per document, so that spans are never multiplied."""
+    blocks = blocks if blocks is not None else structural_blocks(documents)
+    gather = lambda parts, into, *cols: parts.groupBy("doc_id").agg(F.collect_set(F.struct(*cols)).alias(into))
+    out = spans.join(gather(blocks, "_blocks", "start", "end", "role"), "doc_id", "left").join(gather(sections(documents), "_sections", "start", "end", "name"), "doc_id", "left").join(gather(case_starts(documents), "_cases", "start"), "doc_id", "left")
+    around = lambda parts: F.try_element_at(F.filter(parts, lambda x: (x["start"] <= F.col("start")) & (F.col("start") < x["end"])), F.lit(1))
+    first = F.array_max(F.filter("_cases", lambda x: x["start"] <= F.col("start")))["start"]
+    out = out.withColumn("role", F.coalesce(around("_blocks")["role"], F.lit("document"))).withColumn("section", F.coalesce(around("_sections")["name"], F.lit("document"))).withColumn("case_start", F.coalesce(first, F.lit(0)))
+    return out.drop("_blocks", "_sections", "_cases")
+
+
 def repeated_runs(documents: DataFrame, least: int = 20) -> DataFrame:
     """(doc_id, line_no, word_no, word, n) of runs of one word, in one line, of at least so many words."""
     rows = lines(documents).where(F.length("line") >= 2 * least - 1)

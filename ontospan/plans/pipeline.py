@@ -34,10 +34,10 @@ def annotated(documents: DataFrame, lexicon: DataFrame, kb: DataFrame, ask: prop
     resolved = cut(spans.resolve_overlaps(proposals.all_rules(documents, lexicon)))
     gated = spans.gate(resolved, placed, said, UNCONFIRMED)
     found = gated.select(*cols, F.lit("rule").alias("source")).unionByName(said.select(*cols, F.lit("llm").alias("source")))
-    merged = spans.drop_nested(spans.merge_proposals(found))
-    per_doc = merged.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "type")).alias("xs"))
+    merged = cut(notes.with_parts(spans.drop_nested(spans.merge_proposals(found)), documents, blocks))
+    per_doc = merged.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "type", "role", "section", "case_start")).alias("xs"))
     placed = documents.select("doc_id", F.col("text").alias("note")).join(per_doc, "doc_id").select("doc_id", "note", F.explode("xs").alias("x")).select("doc_id", "note", "x.*")
-    flagged = assertions.with_flags(placed, text="note")
+    flagged = assertions.with_flags(placed, "note", F.col("role"), F.col("section"), F.col("case_start"))
     names = ("negated", "family", "historical")
     listed = F.filter(F.array(*(F.when(F.col(c), F.lit(f)) for c, f in zip(names, FLAGS))), lambda x: x.isNotNull())
     text = F.substring("note", F.col("start") + 1, F.col("end") - F.col("start"))

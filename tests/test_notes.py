@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ontospan.config import DIAGNOSIS, DRUG, SYMPTOM, TEST_NAME, TEST_RESULT
 from ontospan.operators import assertions, chunking, notes, proposals, proposer, spans
@@ -168,3 +169,14 @@ def test_the_lexicon_proposer_quotes_all_terms_where_they_stand(spark, tmp_path)
     spark.createDataFrame([(1, 1, 10, text)], "doc_id long, chunk_id long, start_pos int, text string").write.parquet(str(tmp_path / "chunks.parquet"))
     rows = note_queries.lexicon_proposals(spark, str(tmp_path)).orderBy("start").collect()
     assert [(text[r.start - 10 : r.end - 10], r.start, r.type, r.reason) for r in rows] == [("Ho khan", 10, SYMPTOM, "ok"), ("HO", 29, SYMPTOM, "ok"), ("Suy tim", 39, DIAGNOSIS, "ok")]
+
+
+def test_flags_know_the_part_and_the_case(spark):
+    texts = ("Tiền sử gia đình:\nviêm gan", "Hồ sơ thứ nhất\nGhi nhận tiền sử phẫu thuật\nHồ sơ thứ hai\nsuy tim")
+    df, names = docs(spark, *texts), ("viêm gan", "suy tim")
+    rows = [(i, t.index(n), t.index(n) + len(n), DIAGNOSIS) for i, (t, n) in enumerate(zip(texts, names), 1)]
+    placed = spark.createDataFrame(rows, "doc_id long, start int, end int, type string")
+    parts = notes.with_parts(placed, df)
+    flags = assertions.with_flags(parts.join(df, "doc_id"), "text", *(F.col(c) for c in ("role", "section", "case_start"))).orderBy("doc_id").collect()
+    assert [(r.family, r.historical) for r in flags] == [(True, True), (False, False)]
+    assert [r.case_start for r in flags] == [0, texts[1].index("Hồ sơ thứ hai")] and flags[0].role == "family_history"

@@ -28,6 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_small(df: DataFrame, most_rows: int) -> bool:
+    """Whether a table holds at most most_rows rows; it is counted up to one more."""
+    return df.limit(most_rows + 1).count() <= most_rows
+
+
 def small_or_shuffled(df: DataFrame, most_rows: int) -> DataFrame:
-    """A broadcast hint if the table holds at most most_rows rows (counted up to one more); otherwise the join may shuffle."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    """A broadcast hint if the table is_small; otherwise the join may shuffle."""
+    return F.broadcast(df) if is_small(df, most_rows) else df

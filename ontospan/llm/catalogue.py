@@ -1,6 +1,6 @@
 """Queries of this subpackage, with their SQL where SQL can express them over whole tables."""
 
-from ontospan.llm import frequency, leaks, mapping, mixing, same_look, split, truncation
+from ontospan.llm import frequency, leaks, mapping, mixing, same_look, split, truncation, truncation_sql
 from ontospan.plans.sql import form
 
 QUERIES = {
@@ -29,4 +29,5 @@ SQL = {
     "p2_found": f"SELECT concept_type, term_value, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
     "p2_terms": _TERMS,
     "p5_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 650 AND chunk_id IS NOT NULL",
+    **truncation_sql.SQL,
 }

@@ -15,7 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontospan.functions.visual import LOOKALIKES, folded
+from ontospan.functions.visual import LOOKALIKES
+from ontospan.llm.folding import folded
 from ontospan.session import cut
 
 MOST_EDITS = 4

@@ -56,5 +56,16 @@ def test_copies_of_a_truncated_text_do_not_vouch_for_each_other(spark, k):
     whole = [f"{prose.format(i)}\n{end}" for i in range(40) for end in ("Hết phiếu", prose.format(3))]
     cut = ["a.\nHẹn tái khám theo lịch tại phòng", "b.\n" + prose.format(5)[:44]]  # a trigram found nowhere else; a word cut off
     rows = [(i, "s", t) for i, t in enumerate(whole)] + [(1000 + 100 * n + i, "s", t) for n, t in enumerate(cut) for i in range(k)] + [(1000, "s", cut[0])]
-    got = {r.doc_id for r in truncation.ends(spark.createDataFrame(rows, "doc_id long, source string, text string")).where("truncated").collect()}
-    assert got == {1000 + 100 * n + i for n in range(len(cut)) for i in range(k)}
+    out = truncation.ends(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert {r.doc_id for r in out if r.truncated} == {1100 + i for i in range(k)}
+    assert {r.doc_id for r in out if r.truncated is None} == {1000 + i for i in range(k)}  # nothing is known of it, whatever its copies
+
+
+def test_evidence_is_counted(spark):
+    """Occurrences that go on against those that finish, at the bounds, and a word of any length that is cut."""
+    long_word = "x" * 300
+    inside = [f"{i} rất đau đầu nhiều hơn hôm qua." for i in range(8)] + [f"{i} mã {long_word} đã nhập." for i in range(3)]
+    for n_final, truncated in ((2, True), (3, False)):  # 2 of 10 others finish: 0.2; 3 of 11: more
+        rows = [*inside, *(f"{i} nữa\nrất đau đầu" for i in range(n_final)), "đang đo\nrất đau đầu", f"lại\nmã {long_word[:-5]}"]
+        out = {r.doc_id: r.truncated for r in truncation.ends(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").selectExpr("doc_id", "text", "'s' AS source")).collect()}
+        assert out[len(rows) - 2] is truncated and out[len(rows) - 1] is True

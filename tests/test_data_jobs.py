@@ -57,12 +57,21 @@ def test_copies_by_brute_force(spark):
     assert differences(spark, left, right) == sorted(expected)
 
 
-def test_matrix_is_additive_and_bounded(spark):
-    rows = spark.range(1000).select(F.col("id").alias("key"), F.struct(F.lit(0).alias("version"), F.xxhash64("id").alias("v")).alias("state"))
-    whole = copies.checksum_matrix(rows, ["v"], 16).collect()
-    halves = copies.checksum_matrix(rows.where("key < 500"), ["v"], 16).unionByName(copies.checksum_matrix(rows.where("key >= 500"), ["v"], 16))
-    summed = halves.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("n_keys", "keys", "v_lo", "v_hi"))).collect()
-    assert len(whole) == 16 and sorted(map(tuple, whole)) == sorted(map(tuple, summed))
+def test_unequal_cells(spark):
+    """Whatever the number of buckets: exactly the buckets of the differing keys, and of these the columns that differ."""
+    states = lambda rows: rows.select(F.col("id").alias("key"), F.struct(F.lit(0).alias("version"), F.col("v"), F.col("w")).alias("state"))
+    left = spark.range(1000).select("id", F.xxhash64("id").alias("v"), F.lit(7).cast("long").alias("w"))
+    right = left.where("id <> 5").withColumn("v", F.when(F.col("id") == 70, 1).otherwise(F.col("v")))
+    for buckets in (1, 16, 4096):
+        of = {i: spark.range(i, i + 1).select(F.pmod(F.hash("id"), F.lit(buckets))).first()[0] for i in (5, 70)}
+        got = {r.bucket: (r.keys_differ, r.v, r.w) for r in copies.unequal_cells(states(left), states(right), ["v", "w"], buckets).collect()}
+        assert got == ({of[70]: (False, True, False)} | {of[5]: (True, True, True)} if of[5] != of[70] else {of[5]: (True, True, True)})
+
+
+def test_number_of_buckets(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert copies.n_buckets(spark, 0) >= n and copies.n_buckets(spark, 10**7) % n == 0 and copies.n_buckets(spark, 10**12) <= copies.MOST_BUCKETS
+    assert copies.n_buckets(spark, 10**6, 0.5) > copies.n_buckets(spark, 10**6, 0.001)
 
 
 STATES = "snapshot_no int, concept_id long, text string, char_position array<int>, candidates array<string>, loaded_at timestamp, pair int, new string"

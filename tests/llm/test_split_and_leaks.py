@@ -72,8 +72,8 @@ def test_cases(spark):
         (6, " ".join(w[:30]) + " ở giữa là chuyện khác hẳn và dài hơn một chút " + " ".join(w[80:100])), (7, " ".join(w[80:100]) + " ở giữa là chuyện khác hẳn và dài hơn một chút " + " ".join(w[:30])),
         (8, None), (9, ""), (10, "ｔừ0​ " + " ".join(w[1:50])), (11, "chuyện " * 300_000 + ITEM), (12, OTHER),
     ]
-    got = leaked(spark, texts, [(1, ITEM), (2, OTHER), (3, None), (4, "hai từ"), (2, OTHER)])
-    assert set(got) == {(1, 1), (2, 1), (5, 1), (6, 1), (10, 1), (11, 1), (12, 2)}
+    got = leaked(spark, [*texts, (13, "có Hai, tư đây"), (14, "hai người từ đây")], [(1, ITEM), (2, OTHER), (3, None), (4, "hai từ"), (2, OTHER), (5, "?!")])
+    assert set(got) == {(1, 1), (2, 1), (5, 1), (6, 1), (10, 1), (11, 1), (12, 2), (13, 4)}  # of an item of two words, both must be there
     assert got[1, 1] == 120 and got[2, 1] == 45 and got[6, 1] == 50
 
 
@@ -81,23 +81,45 @@ def test_nothing_to_search(spark):
     assert leaked(spark, [(1, ITEM)], []) == {} and leaked(spark, [], [(1, ITEM)]) == {}
 
 
-def test_suffix_array_finds_what_a_scan_finds():
-    import numpy as np
-
+@pytest.mark.parametrize("letters,length", [("abcde", 30), ("ab", 12), ("a", 9)])
+def test_suffix_array_finds_what_a_scan_finds(letters, length):
     rng = random.Random(9)
-    items = [(i, [rng.choice("abcde") for _ in range(rng.randint(4, 30))]) for i in range(6)]
-    tests = leaks.TestSet(items, 4)
-    ids = np.array([rng.randint(0, 5) for _ in range(3000)], dtype=np.int64)
-    got = {(k, i, int(p), int(n)) for k, i, ps, ns in leaks._matches(tests, ids) for p, n in zip(ps, ns)}
-    expected = set()
-    for k, ws in enumerate(tests.words):
+    items = [(i, [rng.choice(letters) for _ in range(rng.randint(1, length))]) for i in range(6)]
+    texts = [[rng.choice(letters + "z") for _ in range(rng.randint(0, 60))] for _ in range(40)]
+    tests, shard = leaks.TestSet(items), leaks.Shard(texts, length)
+    got = {(k, i, int(p), int(n)) for k, i, ps, ns in leaks._matches(tests, shard, 4) for p, n in zip(ps, ns)}
+    expected, flat = set(), [w for t in texts for w in (*t, None)]
+    for k, (_, ws) in enumerate(items):
         for i in range(len(ws)):
-            for p in range(len(ids)):
-                if i and p and ids[p - 1] == ws[i - 1]:
+            for p in range(len(flat)):
+                if i and p and flat[p - 1] == ws[i - 1]:
                     continue
                 n = 0
-                while i + n < len(ws) and p + n < len(ids) and ids[p + n] == ws[i + n]:
+                while i + n < len(ws) and p + n < len(flat) and flat[p + n] == ws[i + n]:
                     n += 1
-                if n >= 4:
+                if n >= min(4, len(ws)):
                     expected.add((k, i, p, n))
     assert got == expected
+
+
+def test_chains_by_brute_force():
+    """The best of one or two stretches, against all pairs of chains."""
+    rng = random.Random(5)
+    for _ in range(300):
+        runs = sorted({(rng.randint(0, 60), rng.randint(0, 30), rng.randint(4, 8)) for _ in range(rng.randint(1, 9))})
+        best = []
+        for p, i, n in runs:
+            own = (n, p, p + n, i, i + n)
+            for w, p0, p1, i0, i1 in best:
+                if p0 < p and i0 < i and p + n > p1 and i + n > i1 and -n < p - p1 <= leaks.GAP and -n < i - i1 <= leaks.GAP:
+                    own = max(own, (w + n - max(0, p1 - p, i1 - i), p0, p + n, i0, i + n), key=lambda x: x[0])
+            best.append(own)
+        pairs = [a[0] + b[0] for a in best for b in best if a[2] <= b[1] and a[4] <= b[3]]
+        assert leaks.held(runs) == max([*(x[0] for x in best), *pairs])
+
+
+def test_many_runs_of_one_pair_are_quick():
+    import time
+
+    began = time.time()
+    assert leaks.held([(50 * k, k % 97, 5) for k in range(20_000)]) == 10 and time.time() - began < 5

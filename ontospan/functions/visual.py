@@ -31,8 +31,9 @@ IGNORABLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x1
 # Decompositions that change what is seen (a raised digit is not the digit).
 SEEN = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>", "<initial>", "<medial>", "<final>", "<isolated>")
 # Vietnamese and other precomposed Latin letters, ASCII and four signs: text of these with single inner spaces is in form already.
-CLEAN = r" \x21-\x7eÀ-ÏÑ-ÿĀ-İĲ-ƈƊ-ǃḀ-ỹµ²³¹αβγ"
+CLEAN = r" \x21-\x7eÀ-ÏÑ-ÿĀ-ıĴ-ľŁ-ňŊ-žƀ-ƈƊ-ǃḀ-ẙẜ-ỹµ²³¹αβγ"
 DIRTY = rf"[^{CLEAN}]|  |^ | $"
+FOLDED_APART = "µßẞ"  # characters in form whose full case folding isn't their lower case
 
 
 def ignorable(ch: str) -> bool:
@@ -66,13 +67,24 @@ def consistent(text: str, fold_case: bool = False) -> str:
     return unicodedata.normalize("NFC", out.casefold()) if fold_case else out
 
 
-@F.pandas_udf(T.StringType())
-def _consistent(texts: pd.Series) -> pd.Series:
+def _each(texts: pd.Series, fold_case: bool) -> pd.Series:
     codes, values = pd.factorize(texts)  # each distinct value of a batch is worked out once
-    forms = [*(consistent(x) for x in values), None]
+    forms = [*(consistent(x, fold_case) for x in values), None]
     return pd.Series([forms[c] for c in codes], dtype=object)
 
 
-def consistent_form(text: Column) -> Column:
+@F.pandas_udf(T.StringType())
+def _consistent(texts: pd.Series) -> pd.Series:
+    return _each(texts, False)
+
+
+@F.pandas_udf(T.StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return _each(texts, True)
+
+
+def consistent_form(text: Column, fold_case: bool = False) -> Column:
     """consistent() of a column. Values that are in form already never leave the JVM: Python is handed nulls for them."""
+    if fold_case:
+        return F.coalesce(_folded(F.when(text.rlike(rf"{DIRTY}|[{FOLDED_APART}]"), text)), F.lower(text))
     return F.coalesce(_consistent(F.when(text.rlike(DIRTY), text)), text)

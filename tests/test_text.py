@@ -106,3 +106,20 @@ def test_column_and_plain_form_agree(spark):
     values = ["a", "", " ", None, "ｈo", "đau bụng", "x" * 100_000 + "​", "а", "đau  bụng"]
     rows = spark.createDataFrame([(v,) for v in values], "x string").select(visual.consistent_form(F.col("x")).alias("y")).collect()
     assert [r.y for r in rows] == [None if v is None else visual.consistent(v) for v in values]
+
+
+def test_characters_that_skip_python_are_in_form(spark):
+    """Every character of the class that keeps a value in the JVM is its own form, and folds by lower case alone or goes to Python."""
+    import re
+    import unicodedata
+
+    from ontospan.functions import visual
+
+    clean = [chr(c) for c in range(0x20, 0x3000) if re.match(f"[{visual.CLEAN}]", chr(c))]
+    assert len(clean) > 500 and all(visual.consistent(f"a{c}a") == f"a{c}a" for c in clean)
+    apart = [c for c in clean if c != " " and visual.consistent(c, True) != unicodedata.normalize("NFC", c.lower())]
+    assert sorted(apart) == sorted(visual.FOLDED_APART)
+    rows = spark.createDataFrame([(c,) for c in [*clean, "Straße", "ĳ", "ｆｏO", "ΜΜ", "İ", None, ""]], "x string")
+    got = rows.select("x", visual.consistent_form(F.col("x")).alias("form"), visual.consistent_form(F.col("x"), True).alias("folded")).collect()
+    assert all((r.form, r.folded) == (None if r.x is None else visual.consistent(r.x), None if r.x is None else visual.consistent(r.x, True)) for r in got)
+    assert {r.x: r.folded for r in got}["Straße"] == "strasse"

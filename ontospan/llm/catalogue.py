@@ -6,6 +6,7 @@ from ontospan.plans.sql import form
 QUERIES = {
     "p1_found": same_look.p1_found,
     "p1_forms": same_look.p1_forms,
+    "p1_folded": same_look.p1_folded,
     "p2_found": frequency.p2_found,
     "p2_terms": frequency.p2_terms,
     "p4_found": mapping.p4_found,
@@ -17,6 +18,7 @@ QUERIES = {
     "p7_clean": leaks.p7_clean,
     "p8_mix": mixing.p8_mix,
     "p8_shares": mixing.p8_shares,
+    "p8_marginals": mixing.p8_marginals,
     "p9_found": truncation.p9_found,
     "p9_rates": truncation.p9_rates,
 }
@@ -26,6 +28,7 @@ _same = lambda table, row_id, column: f"SELECT DISTINCT '{table}' AS source_tabl
 SQL = {
     "p1_found": f"{_same('concepts', 'concept_id', 'text')} UNION ALL {_same('kb_records', 'record_id', 'record_name')}",
     "p1_forms": f"SELECT {form('text')} AS form, sum(n) AS n_rows, count(*) AS n_spellings, bool_or(text <> {form('text')}) AS has_other_characters FROM (SELECT text, count(*) AS n FROM concepts GROUP BY 1) GROUP BY 1",
+    "p1_folded": f"SELECT replace(lower({form('text')}), 'µ', 'μ') AS folded, count(*) AS n_rows, count(DISTINCT {form('text')}) AS n_cases FROM concepts GROUP BY 1",
     "p2_found": f"SELECT concept_type, term_value, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
     "p2_terms": _TERMS,
     "p5_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 650 AND chunk_id IS NOT NULL",

@@ -4,7 +4,8 @@ Method: iterative proportional fitting. Tokens are summed per cell of source, la
 raked to the three marginals, bounded by how often a source may be repeated, with the source marginal met exactly; then
 documents are drawn with the calibrated weights: a weight of 2.3 is two copies and a third with probability 0.3. The
 draw is a threshold on a hash of the document id, set from a histogram of the tokens below it, so that the realised
-shares follow the calibrated ones closely at any size. Only cells, bounded in number, reach the driver.
+shares follow the calibrated ones closely at any size. Only cells reach the driver; more than MOST_CELLS are an error, which
+names the parameter that merges rare languages and topics.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ontospan.functions.visual import consistent_form
-from ontospan.session import cut
+from ontospan.session import cut, is_small
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-LEAST_VALUE = 0.001  # languages and topics with less than this share of the tokens are fitted together as one
+MOST_CELLS = 100_000  # of source, language and topic; each has BINS numbers in the driver
 BINS = 512
 
 
@@ -55,12 +56,13 @@ def source_key(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(consistent_form(source))), r"[\s\-_]+", "_")
 
 
-def fit(cells: list[tuple[str, str, str, float]], shares: dict[str, float], caps: dict[str, int], total: float | None = None, rounds: int = 50) -> dict[tuple[str, str, str], float]:
+def fit(cells: list[tuple[str, str, str, float]], shares: dict[str, float], caps: dict[str, int], total: float | None = None, tolerance: float = 1e-9, rounds: int = 1000) -> dict[tuple[str, str, str], float]:
     """Weight per cell (source, language, topic, tokens): tokens times weight has the shares of the sources, no weight exceeds its
     source's cap, and languages and topics keep their shares of all tokens as far as both allow.
 
     total is the number of tokens to reach; by default, and at most, the largest at which every source can have its share.
-    Sources without tokens can't have a share: the others keep their proportions.
+    Sources without tokens can't have a share: the others keep their proportions. Rounds end when no weight changes by more than
+    tolerance of itself. Where caps and source shares leave the other marginals out of reach, the weights settle nearest to them.
     """
     cells = [c for c in cells if shares.get(c[0], 0) > 0 and c[3] > 0]
     have: dict[str, float] = defaultdict(float)
@@ -77,6 +79,7 @@ def fit(cells: list[tuple[str, str, str, float]], shares: dict[str, float], caps
     natural = [{v: tokens[of[j] == v].sum() / tokens.sum() for v in set(of[j])} for j in (1, 2)]
     w = np.ones(len(cells))
     for _ in range(rounds):
+        before = w.copy()
         for j in (1, 2):
             for v, share in natural[j - 1].items():
                 m = of[j] == v
@@ -92,6 +95,8 @@ def fit(cells: list[tuple[str, str, str, float]], shares: dict[str, float], caps
                 mid = (low + high) / 2
                 low, high = (mid, high) if reach(mid) < wanted[s] * total else (low, mid)
             w[m] = np.minimum(cap[m], high * w[m])
+        if (np.abs(w - before) <= tolerance * np.maximum(w, 1e-300)).all():
+            break
     return {c[:3]: float(x) for c, x in zip(cells, w)}
 
 
@@ -100,12 +105,13 @@ def _unit(column: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(1 << 48)) / F.lit(float(1 << 48))
 
 
-def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
-    """(documents chosen: doc_id, source, lang, topic, tokens, repeats; sources: mix_source, target_share, documents, tokens, actual_share).
+def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, tokenizer: str = TOKENIZER, least_value: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents chosen: doc_id, source, lang, topic, tokens, repeats; sources: mix_source, target_share, documents, tokens, actual_share;
+    marginals: dimension, value, share of all tokens, actual_share).
 
     Copies of one text under several ids are one document (its smallest id), so no text exceeds max_repeats. Documents with
     no text, or a source that has no target, aren't chosen; the latter come out in the sources with a null target and zero
-    tokens. Null languages and topics are values of their own.
+    tokens. Null languages and topics are values of their own; those with less than least_value of the tokens are fitted as one.
     """
     goals = targets.select(source_key(F.col("mix_source")).alias("source"), "mix_source", "target_share", "max_repeats")
     rows = documents.select("doc_id", source_key(F.col("source")).alias("source"), F.coalesce("lang", F.lit("?")).alias("lang"), F.coalesce("note_kind", F.lit("?")).alias("topic"), "text")
@@ -114,9 +120,12 @@ def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None,
     known = cut(counted.groupBy("h", "g", "tokens").agg(copies).select("x.*", "tokens"))  # narrow rows: each text is tokenised once
     goal = {r.source: r for r in goals.collect()}
     everything = known.agg(F.sum("tokens")).first()[0] or 0
-    large = {d: [r[0] for r in known.groupBy(d).agg(F.sum("tokens").alias("n")).where(F.col("n") >= LEAST_VALUE * everything).collect()] for d in ("lang", "topic")}
-    value = lambda d: F.when(F.col(d).isin(large[d]), F.col(d)).otherwise("other") if large[d] else F.lit("other")
-    wanted = known.where(F.col("source").isin(list(goal))).withColumns({"cell_lang": value("lang"), "cell_topic": value("topic"), "u": _unit(F.col("doc_id"), seed)})
+    rare = {d: known.groupBy(d).agg(F.sum("tokens").alias("n")).where(F.col("n") < least_value * everything).select(d, F.lit("other").alias(f"cell_{d}")) for d in ("lang", "topic")}
+    wanted = known.where(F.col("source").isin(list(goal))).withColumn("u", _unit(F.col("doc_id"), seed))
+    for d in ("lang", "topic"):
+        wanted = wanted.join(rare[d], d, "left").withColumn(f"cell_{d}", F.coalesce(f"cell_{d}", d)) if least_value > 0 else wanted.withColumn(f"cell_{d}", F.col(d))
+    if not is_small(wanted.select("source", "cell_lang", "cell_topic").distinct(), MOST_CELLS):
+        raise ValueError(f"more than {MOST_CELLS} cells of source, language and topic: give least_value")
     bins = wanted.groupBy("source", "cell_lang", "cell_topic", (F.col("u") * BINS).cast("int").alias("bin")).agg(F.sum("tokens").alias("n")).collect()
     below: dict[tuple, np.ndarray] = defaultdict(lambda: np.zeros(BINS))
     for r in bins:
@@ -129,14 +138,22 @@ def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None,
         sums = np.concatenate([[0.0], np.cumsum(below[k])])
         plan.append((*k, sure, float(np.interp(need, sums, np.arange(BINS + 1) / BINS)) if need > 0 else 0.0))
     cells = documents.sparkSession.createDataFrame(plan, "source string, cell_lang string, cell_topic string, sure int, upto double")
-    drawn = wanted.join(F.broadcast(cells), ["source", "cell_lang", "cell_topic"])  # at most sources x 1000 x 1000 cells, in fact tens
+    drawn = wanted.join(F.broadcast(cells), ["source", "cell_lang", "cell_topic"])  # at most MOST_CELLS rows
     chosen = drawn.select("doc_id", "source", "lang", "topic", "tokens", (F.col("sure") + (F.col("u") < F.col("upto")).cast("int")).alias("repeats")).where(F.col("repeats") > 0)
     used = chosen.groupBy("source").agg(F.count("*").alias("n_documents"), F.max("repeats").alias("most_repeats"), F.sum(F.col("tokens") * F.col("repeats")).alias("n_tokens"))
     all_sources = known.select("source").distinct().join(goals, "source", "full")
     shares = all_sources.join(used, "source", "left").fillna(0, ["n_documents", "most_repeats", "n_tokens"])
     sum_used = used.agg(F.sum("n_tokens")).scalar()
     shares = shares.select(F.coalesce("mix_source", "source").alias("source"), "target_share", "max_repeats", "n_documents", "most_repeats", "n_tokens", (F.col("n_tokens") / sum_used).alias("actual_share"))
-    return chosen, shares
+    of_all = known.where(F.col("source").isin(list(goal)))
+    marginals = [
+        of_all.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("value")).agg(F.sum("tokens").alias("n_available"))
+        .join(chosen.groupBy(F.col(d).alias("value")).agg(F.sum(F.col("tokens") * F.col("repeats")).alias("n_tokens")), "value", "left").fillna(0, ["n_tokens"])
+        for d in ("lang", "topic")
+    ]
+    sum_all = of_all.agg(F.sum("tokens")).scalar()
+    marginals = marginals[0].unionByName(marginals[1]).select("dimension", "value", "n_available", "n_tokens", (F.col("n_available") / sum_all).alias("share"), (F.col("n_tokens") / sum_used).alias("actual_share"))
+    return chosen, shares, marginals
 
 
 def _tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -149,3 +166,8 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixed(*_tables(spark, sf))[1]
+
+
+def p8_marginals(spark: SparkSession, sf: str) -> DataFrame:
+    """Per language and topic its share of the tokens at hand and of those chosen."""
+    return mixed(*_tables(spark, sf))[2]

@@ -1,8 +1,8 @@
 """Problem 1: text that looks the same in different characters.
 
 Method: compatibility normalisation in composed form, mapped white space, removed default-ignorable characters and mapped
-look-alike letters (functions.visual), worked out once per distinct value of an Arrow batch. Full case folding is a
-parameter and off here, since another letter case looks different; raised digits are kept for the same reason.
+look-alike letters (functions.visual), worked out once per distinct value of an Arrow batch. Full case folding is an argument:
+p1_folded has it on; p1_found has it off, since there another letter case looks different. Raised digits are kept for the same reason.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from ontospan.functions.visual import DIRTY, consistent_form
 
 
-def with_form(df: DataFrame, column: str, into: str = "form") -> DataFrame:
-    """Adds the consistent form of a text column. Null gives null, a text without visible characters the empty string.
+def with_form(df: DataFrame, column: str, into: str = "form", fold_case: bool = False) -> DataFrame:
+    """Adds the consistent form of a text column, with fold_case also folded in full. Null gives null, a text without visible characters the empty string.
 
     A column named like `into` is replaced. No shuffle; rows in form already never reach Python.
     """
-    return df.withColumn(into, consistent_form(F.col(column)))
+    return df.withColumn(into, consistent_form(F.col(column), fold_case))
 
 
 def written_otherwise(df: DataFrame, row_id: str, column: str, terms: DataFrame, term_id: str, term: str) -> DataFrame:
@@ -58,3 +58,10 @@ def p1_forms(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("form")
         .agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_spellings"), F.bool_or(F.col("text") != F.col("form")).alias("has_other_characters"))
     )
+
+
+def p1_folded(spark: SparkSession, sf: str) -> DataFrame:
+    """Every distinct folded form of concepts.text with its rows and the number of letter cases in which it is written."""
+    per_value = spark.read.parquet(f"{sf}/concepts.parquet").groupBy("text").agg(F.count("*").alias("n_rows"))
+    both = with_form(with_form(per_value, "text"), "text", "folded", fold_case=True)
+    return both.groupBy("folded").agg(F.sum("n_rows").alias("n_rows"), F.count_distinct("form").alias("n_cases"))

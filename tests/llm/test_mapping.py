@@ -59,6 +59,17 @@ def test_pigeonhole_loses_no_pair(spark):
     assert {(x.typed, x.reference) for x in mapping.pigeonhole(df(typed), df(refs)).collect()} == expected
 
 
+def test_limits_are_a_parameter(spark):
+    """As many edits as the caller says, at any length, none lost."""
+    base = "abcdefghij" * 6
+    typed = [base, base[:7] + "x" + base[8:40] + base[43:], "xx" + base[:-3], "ab", "b", "abc", "cb"]
+    limits = ((3, 1), (20, 6))
+    df = lambda xs: spark.createDataFrame([("k", x) for x in xs], "kind string, key string")
+    got = {(x.typed, x.reference) for x in mapping.pigeonhole(df(typed), df([base, "ab", "abc"]), limits).collect()}
+    allowed = lambda n: 6 if n >= 20 else 1 if n >= 3 else 0
+    assert got == {(t, r) for t in typed for r in (base, "ab", "abc") if _levenshtein(t, r) <= allowed(len(r))} and len(got) == 6
+
+
 def _levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

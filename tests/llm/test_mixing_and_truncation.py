@@ -18,6 +18,12 @@ def test_fit_meets_sources_and_caps():
     assert all(got[s] / total == pytest.approx(share, rel=1e-6) for s, share in zip("abc", (0.5, 0.3, 0.2)))
     assert all(x <= {"a": 1, "b": 3, "c": 4}[k[0]] + 1e-9 for k, x in w.items()) and total == pytest.approx(1000)
     assert mixing.fit([], {"a": 1.0}, {"a": 1}) == {}
+    # without binding caps the fit is the classical one: odds ratios stay, both marginals are met
+    table = [("a", "vi", "n", 40.0), ("a", "en", "n", 10.0), ("b", "vi", "n", 20.0), ("b", "en", "n", 30.0)]
+    x = mixing.fit(table, {"a": 0.3, "b": 0.7}, {"a": 9, "b": 9}, 50)
+    t = {c[:2]: x[c[:3]] * c[3] for c in table}
+    assert t["a", "vi"] + t["b", "vi"] == pytest.approx(50 * 0.6, rel=1e-6) and t["a", "vi"] + t["a", "en"] == pytest.approx(15, rel=1e-6)
+    assert t["a", "vi"] * t["b", "en"] / (t["a", "en"] * t["b", "vi"]) == pytest.approx(40 * 30 / (10 * 20), rel=1e-6)
     assert sum(x * c[3] for c, x in zip(cells, mixing.fit(cells, {"a": 1.0}, {"a": 2}, 300).values())) == pytest.approx(300)
 
 
@@ -27,14 +33,21 @@ def test_mix(spark):
     rows += [(1000 + i, "sm-all", None, None, f"từ khác {i} " * 30, 0, 0) for i in range(60)]
     rows += [(2000, "small", "vi", "note", "một mình", 0, 0), (2001, None, "vi", "note", "không nguồn", 0, 0), (2002, "big", "vi", "note", None, 0, 0), (2003, "sm_all", "vi", "note", "từ khác 0 " * 30, 0, 0)]
     docs, targets = spark.createDataFrame(rows, DOCS), spark.createDataFrame([("big", 0.5, 1), ("sm_all", 0.5, 3)], TARGETS)
-    chosen, shares = mixing.mixed(docs, targets)
+    chosen, shares, marginals = mixing.mixed(docs, targets)
     out = chosen.collect()
     assert all(1 <= r.repeats <= {"big": 1, "sm_all": 3}[r.source] for r in out) and 2003 not in {r.doc_id for r in out}
     got = {r.source: r.actual_share for r in shares.collect()}
     assert got["big"] == pytest.approx(0.5, abs=0.02) and got["sm_all"] == pytest.approx(0.5, abs=0.02) and got["small"] == 0
     again = {(r.doc_id, r.repeats) for r in mixing.mixed(docs.repartition(7), targets)[0].collect()}
     assert again == {(r.doc_id, r.repeats) for r in out}
-    empty, nothing = mixing.mixed(docs.where("false"), targets)
+    told = {(r.dimension, r.value): (r.n_tokens, r.share, r.actual_share) for r in marginals.collect()}
+    used = sum(r.tokens * r.repeats for r in out)
+    assert told["lang", "vi"][0] == sum(r.tokens * r.repeats for r in out if r.lang == "vi") and sum(x[2] for k, x in told.items() if k[0] == "topic") == pytest.approx(1)
+    assert sum(x[0] for k, x in told.items() if k[0] == "lang") == used
+    rare = {(r.doc_id, r.repeats) for r in mixing.mixed(docs, targets, least_value=0.9)[0].collect()}
+    assert sum(r for _, r in rare) > 0
+    empty, nothing, none = mixing.mixed(docs.where("false"), targets)
+    assert none.count() == 0
     assert empty.count() == 0 and {r.source for r in nothing.collect()} == {"big", "sm_all"}
 
 

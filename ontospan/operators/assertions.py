@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontospan.config import ASSERTED, DIAGNOSIS, DRUG, LONG_LINE, SYMPTOM
-from ontospan.functions.text import clause_before, line_before, line_length, normalize_key
+from ontospan.functions.text import normalize_key
 
 # Cue phrases in folded form.
 NEGATION = r"\b(?:khong|chua|phu nhan|khong thay|no|denies|without|negative for)\b"
@@ -24,6 +24,7 @@ PAST_PART = (
     r"tien su phau thuat|cac su kien truoc khi nhap vien|cac dien bien truoc khi nhap vien)\b"
 )
 PRESENT = r"\b(?:tien su benh hien tai|benh su hien tai|lich su benh hien tai|trieu chung hien tai|ly do nhap vien)\b"
+RECENT = 700
 PAST_ROLES = ("medical_history", "personal_history", "family_history", "epidemiology_history")
 
 
@@ -61,22 +62,25 @@ def historical(kind: Column, section: Column, role: Column, clause_key: Column,
     return F.when(role.isin(*PAST_ROLES), True).when(kind == DRUG, drug).otherwise(other)
 
 
-def with_flags(spans: DataFrame, text: str = "text", role: Column | None = None, section: Column | None = None, case_start: Column | None = None) -> DataFrame:
-    """spans (start, end, type, the note's text) with negated, family and historical; all false for types without flags and on
-    long lines. Windows don't reach beyond the start of the span's case."""
-    role, section, first = role if role is not None else F.lit("document"), section if section is not None else F.lit("document"), case_start if case_start is not None else F.lit(0)
-    t, s, e = F.col(text), F.col("start"), F.col("end")
-    own = F.substring(t, first + 1, F.length(t))  # the case's own text; offsets move with it
-    start, end = s - first, e - first
-    keys = spans.withColumns(
-        {
-            "_clause": normalize_key(clause_before(own, start)),
-            "_line": normalize_key(line_before(own, start)),
-            "_mention": normalize_key(F.substring(own, start + 1, end - start)),
-            "_recent": normalize_key(F.right(F.left(own, start), F.lit(700))),
-            "_flagged": F.col("type").isin(*ASSERTED) & (line_length(own, start, end) < LONG_LINE),
-        }
-    )
+def windows(text: Column, start: Column, end: Column, first: Column | int = 0) -> Column:
+    """struct(before, mention, after): all that the flags of a span depend on, short whatever the length of the note. `first` is
+    where the span's case starts: the window doesn't reach beyond it."""
+    first = F.lit(first) if isinstance(first, int) else first
+    low = F.greatest(first, start - RECENT)
+    return F.struct(F.substring(text, low + 1, start - low).alias("before"), F.substring(text, start + 1, end - start).alias("mention"), F.substring(text, end + 1, F.lit(LONG_LINE)).alias("after"))
+
+
+def flags_of(spans: DataFrame, role: Column | None = None, section: Column | None = None) -> DataFrame:
+    """spans (type, window) with negated, family and historical; all false for types without flags and on long lines. A line that
+    fills the window to either side is a long one."""
+    role, section = role if role is not None else F.lit("document"), section if section is not None else F.lit("document")
+    before, mention = F.col("window.before"), F.col("window.mention")
+    line = F.substring_index(before, "\n", -1)
+    line_chars = F.length(line) + F.length(mention) + F.length(F.substring_index("window.after", "\n", 1))
+    flagged = F.col("type").isin(*ASSERTED) & (line_chars < LONG_LINE)
+    keys = spans.withColumn("_flagged", F.coalesce(flagged, F.lit(False)))
+    key = lambda c: F.when(F.col("_flagged"), normalize_key(c))
+    keys = keys.withColumns({"_clause": key(F.regexp_extract(line, "[^.;:]*$", 0)), "_line": key(line), "_mention": key(mention), "_recent": key(before)})
     on = lambda flag: F.coalesce(F.col("_flagged") & flag, F.lit(False))
     flags = {
         "negated": on(negated(F.col("_clause"), F.col("_mention"))),
@@ -84,3 +88,9 @@ def with_flags(spans: DataFrame, text: str = "text", role: Column | None = None,
         "historical": on(historical(F.col("type"), section, role, F.col("_clause"), F.col("_line"), F.col("_recent"))),
     }
     return keys.withColumns(flags).drop("_clause", "_line", "_mention", "_recent", "_flagged")
+
+
+def with_flags(spans: DataFrame, text: str = "text", role: Column | None = None, section: Column | None = None, case_start: Column | None = None) -> DataFrame:
+    """flags_of spans (start, end, type, the note's text)."""
+    rows = spans.withColumn("window", windows(F.col(text), F.col("start"), F.col("end"), case_start if case_start is not None else 0))
+    return flags_of(rows, role, section).drop("window")

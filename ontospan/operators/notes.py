@@ -141,32 +141,40 @@ def role_hits(documents: DataFrame) -> DataFrame:
     return first.select("doc_id", "start", F.when(F.col("back") & ~F.col("done"), "answer").otherwise(F.col("role")).alias("role")).where("role IS NOT NULL")
 
 
-def role_blocks(hits: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(doc_id, role, start, end): hits that repeat the role before them are dropped, but for roles that may repeat."""
-    order = W.partitionBy("doc_id").orderBy("start")
-    kept = hits.withColumn("before", F.lag("role").over(order)).where(F.col("before").isNull() | (F.col("before") != F.col("role")) | F.col("role").isin(*KEPT_TWICE))
-    return kept.withColumn("next", F.lead("start").over(order)).join(lengths, "doc_id").select("doc_id", "role", "start", F.coalesce("next", "n").alias("end"))
+def role_blocks(hits: DataFrame, lengths: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """(doc_id, role, start, end): hits that repeat the role before them are dropped, but for roles that may repeat. within: columns
+    in whose parts of a document alone roles count as repeated; they are kept."""
+    within, order = within or [], W.partitionBy("doc_id").orderBy("start")
+    kept = hits.withColumn("before", F.lag("role").over(W.partitionBy("doc_id", *within).orderBy("start"))).where(F.col("before").isNull() | (F.col("before") != F.col("role")) | F.col("role").isin(*KEPT_TWICE))
+    return kept.withColumn("next", F.lead("start").over(order)).join(lengths, "doc_id").select("doc_id", "role", "start", F.coalesce("next", "n").alias("end"), *within)
 
 
 def structural_blocks(documents: DataFrame) -> DataFrame:
-    """(doc_id, role, start, end): section headings and role lines as blocks; at one place the role line counts. A block that is
-    nothing but a heading becomes part of the one after it, in pairs from the first of a run of such blocks."""
-    from_sections = sections(documents).select("doc_id", "start", reduce(lambda c, kv: F.when(F.col("name") == kv[0], kv[1]).otherwise(c), SECTION_ROLE.items(), F.lit("document")).alias("role"), F.lit(0).alias("rank"))
+    """(doc_id, role, start, end, case_no): section headings, role lines and the beginnings of cases as blocks; at one place the role
+    line counts, and a case begins with the role of its section. A block that is nothing but a heading becomes part of the one
+    after it in its case, in pairs from the first of a run of such blocks. Cases are numbered from 1."""
+    starts = case_starts(documents)
+    named = sections(documents).select("doc_id", "start", "name").unionByName(starts.select("doc_id", "start", F.lit(None).cast("string").alias("name")))
+    named = named.withColumn("name", F.last("name", True).over(W.partitionBy("doc_id").orderBy("start", F.col("name").isNull())))
+    from_sections = named.select("doc_id", "start", reduce(lambda c, kv: F.when(F.col("name") == kv[0], kv[1]).otherwise(c), SECTION_ROLE.items(), F.lit("document")).alias("role"), F.lit(0).alias("rank"))
     hits = from_sections.unionByName(role_hits(documents).withColumn("rank", F.lit(1))).groupBy("doc_id", "start").agg(F.max_by("role", "rank").alias("role"))
     lengths = documents.where(F.col("text").isNotNull()).select("doc_id", F.length("text").alias("n"))
-    per_doc = role_blocks(hits, lengths).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "role")).alias("bs"))
+    begins = starts.where("start > 0").select("doc_id", "start", F.lit(1).alias("_begins")).distinct()
+    case_no = (F.count("_begins").over(W.partitionBy("doc_id").orderBy("start")) + 1).cast("int")
+    hits = hits.join(begins, ["doc_id", "start"], "left").withColumn("case_no", case_no).drop("_begins")
+    per_doc = role_blocks(hits, lengths, ["case_no"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "role", "case_no")).alias("bs"))
     placed = documents.select("doc_id", "text").join(per_doc, "doc_id").select("doc_id", "text", F.inline("bs"))
     value = F.regexp_replace(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")), r"^\s+|\s+$", "")
     key = F.regexp_replace(F.regexp_replace(normalize_key(F.regexp_replace(value, r"^[*\- ]+|[*\- ]+$", "")), r"^\d+(?:\.\d+)*[.)/]?\s*", ""), r":+$", "")
     titles = [*(m for _, ms in MAJOR.values() for m in ms), *HISTORY, *LABS, *DIAGNOSES, *TREATMENTS, *SYMPTOMS, *EVENTS]
     bare = ~F.col("role").isin("question", "answer", "patient_case") & (F.length(value) <= 160) & ~value.contains("\n") & F.trim(key).isin(titles)
-    rows = placed.select("doc_id", "start", "end", "role", bare.alias("bare"))
-    order = W.partitionBy("doc_id").orderBy("start")
-    rows = rows.withColumn("island", F.row_number().over(order) - F.row_number().over(W.partitionBy("doc_id", "bare").orderBy("start"))).withColumn("next_end", F.lead("end").over(order)).withColumn("next_role", F.lead("role").over(order))
-    odd = F.row_number().over(W.partitionBy("doc_id", "bare", "island").orderBy("start")) % 2 == 1
+    rows = placed.select("doc_id", "start", "end", "role", "case_no", bare.alias("bare"))
+    order = W.partitionBy("doc_id", "case_no").orderBy("start")
+    rows = rows.withColumn("island", F.row_number().over(order) - F.row_number().over(W.partitionBy("doc_id", "case_no", "bare").orderBy("start"))).withColumn("next_end", F.lead("end").over(order)).withColumn("next_role", F.lead("role").over(order))
+    odd = F.row_number().over(W.partitionBy("doc_id", "case_no", "bare", "island").orderBy("start")) % 2 == 1
     rows = rows.withColumn("joins", F.col("bare") & odd & F.col("next_end").isNotNull())
     rows = rows.withColumn("absorbed", F.coalesce(F.lag("joins").over(order), F.lit(False)))
-    return rows.where("NOT absorbed").select("doc_id", F.when(F.col("joins"), F.col("next_role")).otherwise(F.col("role")).alias("role"), "start", F.when(F.col("joins"), F.col("next_end")).otherwise(F.col("end")).alias("end"))
+    return rows.where("NOT absorbed").select("doc_id", F.when(F.col("joins"), F.col("next_role")).otherwise(F.col("role")).alias("role"), "start", F.when(F.col("joins"), F.col("next_end")).otherwise(F.col("end")).alias("end"), "case_no")
 
 
 def case_starts(documents: DataFrame) -> DataFrame:
@@ -180,12 +188,28 @@ def case_starts(documents: DataFrame) -> DataFrame:
     return counted.withColumn("before", F.lag("said").over(order)).where("before IS NULL OR said > before").select("doc_id", "start")
 
 
+def section_at(points: DataFrame, documents: DataFrame) -> DataFrame:
+    """points (doc_id, at, ...) with the name of the section they lie in, `document` where none; a range join within documents."""
+    p, s = points.alias("p"), sections(documents).alias("s")
+    inside = (F.col("p.doc_id") == F.col("s.doc_id")) & (F.col("s.start") <= F.col("p.at")) & (F.col("p.at") < F.col("s.end"))
+    return p.join(s, inside, "left").select("p.*", F.coalesce("s.name", F.lit("document")).alias("section"))
+
+
+def case_bounds(documents: DataFrame) -> DataFrame:
+    """(doc_id, case_no, start, end) of the cases of a document, numbered from 1; a document without boundaries is one case, and
+    what comes before the first boundary is a case too."""
+    lengths = documents.where(F.col("text").isNotNull()).select("doc_id", F.length("text").alias("n"))
+    starts = case_starts(documents).select("doc_id", "start").unionByName(lengths.select("doc_id", F.lit(0).alias("start"))).distinct()
+    order = W.partitionBy("doc_id").orderBy("start")
+    return starts.withColumn("next", F.lead("start").over(order)).withColumn("case_no", F.row_number().over(order)).join(lengths, "doc_id").select("doc_id", "case_no", "start", F.coalesce("next", "n").alias("end"))
+
+
 def with_parts(spans: DataFrame, documents: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """spans (doc_id, start, ...) with the role, section and case_start of where they begin; 0 before the first case. Blocks are
     structural_blocks, if they are at hand. Parts are gathered per document, so that spans are never multiplied."""
     blocks = blocks if blocks is not None else structural_blocks(documents)
     gather = lambda parts, into, *cols: parts.groupBy("doc_id").agg(F.collect_set(F.struct(*cols)).alias(into))
-    out = spans.join(gather(blocks, "_blocks", "start", "end", "role"), "doc_id", "left").join(gather(sections(documents), "_sections", "start", "end", "name"), "doc_id", "left").join(gather(case_starts(documents), "_cases", "start"), "doc_id", "left")
+    out = spans.join(gather(blocks.select("doc_id", "start", "end", "role"), "_blocks", "start", "end", "role"), "doc_id", "left").join(gather(sections(documents), "_sections", "start", "end", "name"), "doc_id", "left").join(gather(case_starts(documents), "_cases", "start"), "doc_id", "left")
     around = lambda parts: F.try_element_at(F.filter(parts, lambda x: (x["start"] <= F.col("start")) & (F.col("start") < x["end"])), F.lit(1))
     first = F.array_max(F.filter("_cases", lambda x: x["start"] <= F.col("start")))["start"]
     out = out.withColumn("role", F.coalesce(around("_blocks")["role"], F.lit("document"))).withColumn("section", F.coalesce(around("_sections")["name"], F.lit("document"))).withColumn("case_start", F.coalesce(first, F.lit(0)))

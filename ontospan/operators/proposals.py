@@ -1,21 +1,25 @@
 """Rule proposals of spans: lexicon phrases, drugs, prescription lines, lab values, conditions after a cue.
 
-Matches are found line by line in the JVM. Their offsets come from the lengths of the text before them, as positions
+Lexicon terms are found by an automaton, patterns line by line in the JVM. Their offsets come from the lengths of the text before them, as positions
 reported by the regular expression functions count UTF-16 units.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontospan.config import DIAGNOSIS, DRUG, SYMPTOM, TEST_NAME, TEST_RESULT
-from ontospan.functions.rx import extended_end
+from ontospan.functions.rx import AHEAD, extended_end
 from ontospan.functions.text import normalize_key
 from ontospan.operators.notes import lines
 
+BLOCK_TERMS = 500_000  # of the lexicon in a task's memory at a time
 # Scores by type, lab names, units and results, cues.
 SCORES = {DIAGNOSIS: 0.95, SYMPTOM: 0.80, TEST_NAME: 0.70, DRUG: 0.98, TEST_RESULT: 0.92}
 LAB_NAMES = "bc ha n wbc twbc rbc hgb hct plt neut neut% lyph lyph% lymph lymph% mono mono% eos eos% baso baso% ast alt ap alp tbili dbili crp creatinine glucose ure bun hbsag spo2 na k cl ca".split()
@@ -28,15 +32,26 @@ LAB_RESULT = rf"(?:\d{{2,3}}\s*/\s*\d{{2,3}}(?:\s*mmHg)?|[<>]?\s*\d+(?:[,.]\d+)?
 LAB_WORDED = r"(?:chưa phát hiện bất thường(?: trên phim chụp)?|không phát hiện bất thường(?: trên phim chụp)?|đều tăng|bình thường|bất thường|âm tính|dương tính)"
 LAB_PAIR = rf"(?i)([^;:=.]{{1,120}}?)(\s*(?::|=|(?<![\p{{L}}\p{{N}}])là(?![\p{{L}}\p{{N}}]))\s*)({LAB_RESULT})"
 LAB_RATIO = rf"(?i)([A-Za-z]{{2,10}}\s*/\s*[A-Za-z]{{2,10}})(\s*[<>=]\s*)(\d+(?:[,.]\d+)?(?:\s*(?:{LAB_UNIT}))?)"
-_NAMES = "|".join(sorted((n.replace("%", "%") for n in [*LAB_NAMES, "anti hbe", "anti hbc igg", "anti hbc igm"]), key=lambda n: (-len(n), n)))
+_NAMES = "|".join(sorted((n for n in [*LAB_NAMES, "anti hbe", "anti hbc igg", "anti hbc igm"]), key=lambda n: (-len(n), n)))
 LAB_INLINE = rf"(?i)(?<![\p{{L}}\p{{N}}_])({_NAMES})((?![\p{{L}}\p{{N}}_])\s+)({LAB_RESULT})"
 LAB_QUALITY = rf"(?i)(?<![\p{{L}}\p{{N}}_])({_NAMES})((?![\p{{L}}\p{{N}}_])[^.;:]{{0,45}}?\s+)({LAB_WORDED})"
 GLUED = r"(?i)(chụp\s*ct)()(chưa\s+phát\s+hiện\s+bất\s+thường(?:\s+trên\s+phim\s+chụp)?)"
 _COUNT = "(?:viên|vien|ống|ong|lọ|lo|gói|goi|vỉ|vi)"
-ORDER = rf"(?i)^([ \t*•+-]*)([A-Za-zÀ-ỹ][\p{{L}}\p{{N}}_.+/-]*(?:\s+[A-Za-zÀ-ỹ][\p{{L}}\p{{N}}_.+/-]*){{0,2}}\s+\d+(?:[,.]\d+)?\s*(?:mcg|mg|g|iu|%)(?:\s*/\s*ml)?(?:\s*x\s*\d+\s*{_COUNT})?)()"
-ORDER_CUES = "thuoc|dieu tri|truyen|tiem|uong|pha vao|vien|ong|sang|chieu"
+_WORD, _MORE = r"[A-Za-zÀ-ỹ][\p{L}\p{N}_.+/-]*", r"[A-Za-zÀ-ỹ0-9][\p{L}\p{N}_.+/-]*"
+_LEAD = r"(?i)^([ \t*•-]*)"
+ORDER = rf"{_LEAD}({_WORD}(?:\s+{_WORD}){{0,2}}\s+\d+(?:[,.]\d+)?\s*(?:mcg|mg|g|iu|%)(?:\s*/\s*ml)?(?:\s*x\s*\d+\s*{_COUNT})?)()"
+ORDER_COUNT = rf"{_LEAD}({_WORD}(?:\s+{_MORE}){{0,2}}\s+x\s*\d+\s*{_COUNT})()"
+ORDER_CUES = ("thuoc", "dieu tri", "truyen", "tiem", "uong", "pha vao", "vien", "ong", "sang", "chieu")
 CONDITION = r"(?i)((?:chẩn\s*đoán|chan\s*doan|diagnosis|dx)\s*(?::|mắc\s+bệnh|mac\s+benh|mắc|mac|là|la)\s*)(\s*)([^.;\n]+)"
-RESULT_CUES = "xet nghiem|phong thi nghiem|laboratory|sieu am|x quang|x-quang|chup |ct |mri|noi soi|sinh thiet|choc hut|fna|te bao hoc|dien tam do|ecg|ekg|holter|xa hinh|thong tim"
+NO_CONDITION = ("hinh anh", "chup x quang", "sieu am", "ct ", "mri ", "dien tam do", "ecg", "/ tham do", "va dieu tri")
+NO_CONDITION_WORDS = ("khac", "tham do", "va dieu tri", "hinh anh")
+NARRATIVE = ("benh nhan", "khi duoc chuyen", "khong con cam giac", "vao khoa dieu tri")
+RESULT_CUES = (
+    "ket qua", "xet nghiem", "chan doan hinh anh", "cho thay", "ghi nhan", "dien tam do", "ecg", "holter", "sieu am", "x quang", "ct ", "mri", "sinh thiet", "choc hut", "choc do", "ha",
+    "huyet ap", "nhiet do", "mach", "nhip tim", "nhip tho", "spo2", "alt", "ast", "got", "gpt", "ggt",
+)
+ALWAYS_RESULT = "nhip xoang"
+KNOWN_VALUE = r"(?i)^((?:\s*\([^)]+\))?\s*(?:là|:|=)\s*)([<>]?\s*\d+(?:[,.]\d+)?(?:\s*(?:mg/dL|g/L|mmol/L|mmol|IU/L|U/L|%))?)"
 
 
 def found(line: Column, pattern: str) -> Column:
@@ -57,31 +72,67 @@ def in_lines(documents: DataFrame, pattern: str, needs: str | None = None) -> Da
     return rows.select("doc_id", "line_no", "line", "line_start", (F.col("line_start") + F.col("m.start")).alias("start"), "m.a", "m.b", "m.c")
 
 
+def _automaton(terms: list[tuple[str, str]]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for term, kind in terms:
+        out.get(term, None) is None and out.add_word(term, (term, []))
+        out.get(term)[1].append(kind)
+    out.make_automaton()
+    return out
+
+
+def _lowered(text: str) -> str:
+    """Lower case in as many characters: those that become several stay as they are."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _occurrences(text: str, terms: ahocorasick.Automaton) -> Iterator[tuple[int, int, str, str]]:
+    low = _lowered(text)
+    word = lambda i: 0 <= i < len(low) and (low[i].isalnum() or low[i] == "_")
+    for last, (term, kinds) in terms.iter(low):
+        first = last + 1 - len(term)
+        if not word(first - 1) and not word(last + 1):
+            for kind in kinds:
+                yield first, last + 1, kind, term
+
+
 def lexicon_spans(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, start, end, type, score, term): every occurrence of every term, in any letter case, as whole words.
 
-    Words meet the terms that begin with them, and the rest of the term is compared; the work grows with the text and the
-    number of terms with one first word. Terms that don't begin with a letter or digit aren't found.
+    One pass of an Aho-Corasick automaton over each text, in Arrow batches: the work grows with the text and the occurrences,
+    not with the lexicon. The lexicon goes to the tasks in blocks of BLOCK_TERMS; each block is a pass over the texts.
+    Null terms, terms without a visible character and null texts give nothing; a term listed under two types gives both.
     """
-    pieces = F.regexp_extract_all("line", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
-    starts = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.length(x)))
-    zipped = F.arrays_zip(pieces.alias("word"), F.slice(starts, 1, F.size(pieces)).alias("at"))
-    words = lines(documents).where("line <> ''").select("doc_id", "line", F.col("start").alias("line_start"), F.inline(zipped))
-    words = words.where(F.col("word").rlike(r"^[\p{L}\p{N}_]")).select("doc_id", "line", "line_start", "at", F.lower("word").alias("first_word"))
-    terms = lexicon.select(F.lower("term").alias("term"), F.col("concept_type").alias("type")).distinct().withColumn("first_word", F.regexp_extract("term", r"^[\p{L}\p{N}_]+", 0)).where("first_word <> ''")
-    n = F.length("term")
-    after = F.substring("line", F.col("at") + n + 1, F.lit(1))
-    hits = words.join(terms, "first_word").where((F.lower(F.substring("line", F.col("at") + 1, n)) == F.col("term")) & ~after.rlike(r"^[\p{L}\p{N}_]"))
-    start = F.col("line_start") + F.col("at")
+    terms = lexicon.where(F.trim("term") != "").select(F.lower("term").alias("term"), F.col("concept_type").alias("type")).distinct()
+    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start int, end int, type string, term string"
+    columns = [x.split()[0] for x in schema.split(", ")]
+
+    def searching(block: list[tuple[str, str]]):
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = _automaton(block)
+            for batch in batches:
+                yield pd.DataFrame([(d, *x) for d, t in zip(batch.doc_id, batch.text) for x in _occurrences(t, known)], columns=columns)
+
+        return each
+
+    blocks: list[list[tuple[str, str]]] = [[]]
+    for r in terms.toLocalIterator():
+        if len(blocks[-1]) == BLOCK_TERMS:
+            blocks.append([])
+        blocks[-1].append((r.term, r.type))
+    found = [rows.mapInPandas(searching(b), schema) for b in blocks if b] or [rows.sparkSession.createDataFrame([], schema)]
     score = reduce(lambda c, kv: F.when(F.col("type") == kv[0], kv[1]).otherwise(c), SCORES.items(), F.lit(0.5))
-    return hits.select("doc_id", start.alias("start"), (start + n).alias("end"), "type", score.alias("score"), "term")
+    return reduce(DataFrame.unionByName, found).select("doc_id", "start", "end", "type", score.alias("score"), "term")
 
 
 def drug_spans(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Lexicon drugs with the dose, route and form that follow them."""
     spans = lexicon_spans(documents, lexicon.where(F.col("concept_type") == DRUG)).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "term")).alias("xs"))
-    rows = documents.select("doc_id", "text").join(spans, "doc_id").select("doc_id", "text", F.explode("xs").alias("x")).select("doc_id", "text", "x.*")
-    return rows.select("doc_id", "start", extended_end(F.col("text"), F.col("end")).alias("end"), F.lit(DRUG).alias("type"), F.lit(SCORES[DRUG]).alias("score"))
+    seen = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substring("text", x["end"] + 1, F.lit(AHEAD)).alias("after"))
+    rows = documents.select("doc_id", "text").join(spans, "doc_id").select("doc_id", F.inline(F.transform("xs", seen)))
+    return rows.select("doc_id", "start", (F.col("end") + extended_end(F.col("after"), F.lit(0))).alias("end"), F.lit(DRUG).alias("type"), F.lit(SCORES[DRUG]).alias("score"))
 
 
 def _labs(documents: DataFrame, pattern: str, score: float) -> DataFrame:
@@ -114,23 +165,69 @@ def lab_spans(documents: DataFrame) -> DataFrame:
     return spans.unionByName(ratios).where("start < end").groupBy("doc_id", "start", "end", "type").agg(F.max("score").alias("score"))
 
 
+def in_window(spans: DataFrame, documents: DataFrame, before: int, after: int) -> DataFrame:
+    """spans (doc_id, start, end, ...) with `context`, the key of the text around them; spans are gathered per document, so that
+    texts are shuffled once and never copied per span."""
+    columns = [c for c in spans.columns if c != "doc_id"]
+    gathered = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("xs"))
+    low = lambda x: F.greatest(F.lit(0), x["start"] - before)
+    seen = lambda x: F.struct(*(x[c].alias(c) for c in columns), F.substring("text", low(x) + 1, x["end"] + after - low(x)).alias("context"))
+    rows = documents.select("doc_id", "text").join(gathered, "doc_id").select("doc_id", F.inline(F.transform("xs", seen)))
+    return rows.withColumn("context", normalize_key(F.col("context")))
+
+
+def has_cue(key: Column, cues) -> Column:
+    """Whether one of the cues stands anywhere in a key, also within words."""
+    return reduce(lambda a, b: a | b, (F.contains(key, F.lit(c)) for c in cues))
+
+
 def order_lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, line_no, start, text) of drugs with a strength at the beginning of a line, but for concentrations per litre."""
-    rows = in_lines(documents, ORDER)
-    start = F.col("start") + F.length("a")
-    rest = F.substring("line", start + F.length("b") - F.col("line_start") + 1, F.lit(6))
-    return rows.where(~rest.rlike(r"(?i)^\s*/\s*(?:l|dl)\b")).select("doc_id", "line_no", start.alias("start"), F.regexp_replace("b", "[.,;:]+$", "").alias("text"))
+    """(doc_id, line_no, start, text) of drugs with a strength, a count or both at the beginning of a line, where a cue of a
+    prescription stands near; concentrations per litre are none."""
+    parts = []
+    for pattern in (ORDER, ORDER_COUNT):
+        rows = in_lines(documents, pattern)
+        start = F.col("start") + F.length("a")
+        rest = F.substring("line", start + F.length("b") - F.col("line_start") + 1, F.lit(6))
+        parts.append(rows.where(~rest.rlike(r"(?i)^\s*/\s*(?:l|dl)\b")).select("doc_id", "line_no", start.alias("start"), (start + F.length("b")).alias("end"), F.regexp_replace("b", "[.,;:]+$", "").alias("text")))
+    near = in_window(parts[0].unionByName(parts[1]), documents, 140, 100).where(has_cue(F.col("context"), ORDER_CUES))
+    return near.select("doc_id", "line_no", "start", "text").distinct()
 
 
 def cued_conditions(documents: DataFrame) -> DataFrame:
-    """(doc_id, start, end, type, score, text) of what follows a cue like `diagnosis:` up to the end of the sentence."""
+    """(doc_id, start, end, type, score, text) of what follows a cue like `diagnosis:` up to the end of the sentence; names of
+    examinations, single vague words and long narratives are no conditions."""
     rows = in_lines(documents, CONDITION).select("doc_id", (F.col("start") + F.length("a") + F.length("b")).alias("start"), F.regexp_replace("c", r"[\s.,;:]+$", "").alias("text"))
-    return rows.where(F.length("text") >= 4).select("doc_id", "start", (F.col("start") + F.length("text")).alias("end"), F.lit(DIAGNOSIS).alias("type"), F.lit(0.9).alias("score"), "text")
+    rows = rows.where(F.length("text") >= 4).withColumn("key", normalize_key(F.col("text")))
+    n = F.size(F.filter(F.split("key", " "), lambda w: w != ""))
+    no = ((n > 10) & has_cue(F.col("key"), NARRATIVE)) | F.col("key").isin(*NO_CONDITION_WORDS) | F.col("key").rlike(f"^(?:{'|'.join(NO_CONDITION)})")
+    return rows.where(~no).select("doc_id", "start", (F.col("start") + F.length("text")).alias("end"), F.lit(DIAGNOSIS).alias("type"), F.lit(0.9).alias("score"), "text")
+
+
+def contextual_results(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, start, end, type, score) of result phrases of the lexicon with a cue of an examination around them."""
+    found_ = lexicon_spans(documents, lexicon.where(F.col("concept_type") == TEST_RESULT)).select("doc_id", "start", "end", "term")
+    near = in_window(found_, documents, 140, 60)
+    near = near.where(has_cue(F.col("context"), RESULT_CUES) | normalize_key(F.col("term")).startswith(ALWAYS_RESULT))
+    return near.select("doc_id", "start", "end", F.lit(TEST_RESULT).alias("type"), F.lit(SCORES[TEST_RESULT]).alias("score"))
+
+
+def known_values(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, start, end, type, score) of the tests of the lexicon (three characters or more) that a sign and a number follow,
+    and of these numbers with their units; what stands in brackets between them is skipped."""
+    tests = lexicon_spans(documents, lexicon.where((F.col("concept_type") == TEST_NAME) & (F.length("term") >= 3))).select("doc_id", "start", "end").distinct()
+    gathered = tests.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("xs"))
+    seen = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.regexp_extract(F.substring("text", x["end"] + 1, F.lit(1000)), KNOWN_VALUE, 1).alias("sign"), F.regexp_extract(F.substring("text", x["end"] + 1, F.lit(1000)), KNOWN_VALUE, 2).alias("value"))
+    rows = documents.select("doc_id", "text").join(gathered, "doc_id").select("doc_id", F.inline(F.transform("xs", seen))).where("value <> ''")
+    at = F.col("end") + F.length("sign")
+    two = F.array(F.struct("start", "end", F.lit(TEST_NAME).alias("type")), F.struct(at.alias("start"), (at + F.length("value")).alias("end"), F.lit(TEST_RESULT).alias("type")))
+    return rows.select("doc_id", F.inline(two)).select("doc_id", "start", "end", "type", F.lit(0.99).alias("score"))
 
 
 def all_rules(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     """All rule proposals of all documents: (doc_id, start, end, type, score)."""
     cols = ["doc_id", "start", "end", "type", "score"]
     orders = order_lines(documents).select("doc_id", "start", (F.col("start") + F.length("text")).alias("end"), F.lit(DRUG).alias("type"), F.lit(0.995).alias("score"))
-    parts = [lexicon_spans(documents, lexicon.where(F.col("concept_type") != DRUG)), drug_spans(documents, lexicon), lab_spans(documents), orders, cued_conditions(documents)]
+    phrases = lexicon_spans(documents, lexicon.where(~F.col("concept_type").isin(DRUG, TEST_RESULT)))
+    parts = [phrases, drug_spans(documents, lexicon), known_values(documents, lexicon), lab_spans(documents), contextual_results(documents, lexicon), orders, cued_conditions(documents)]
     return reduce(DataFrame.unionByName, (p.select(*cols) for p in parts)).groupBy("doc_id", "start", "end", "type").agg(F.max("score").alias("score"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ontospan.config import TYPES, env
 from ontospan.functions.visual import consistent
+from ontospan.operators.chunking import units_of
 
 Proposer = Callable[[list[dict]], list[str]]
 # a word with its accents, or another character but a blank
@@ -144,7 +145,7 @@ def mention(item: object) -> dict | None:
             c = float(item.get("confidence", 0.75))
         except (TypeError, ValueError):
             c = 0.75
-        return {"quote": item.get("quote") or item.get("text"), "type": item.get("type"), "occurrence": item.get("occurrence_index"), "confidence": min(1.0, max(0.0, c if c == c else 0.75))}
+        return {"quote": item.get("quote") or item.get("text"), "type": item.get("type"), "occurrence": item.get("occurrence_index"), "unit": item.get("unit_id"), "confidence": min(1.0, max(0.0, c if c == c else 0.75))}
     return None
 
 
@@ -165,8 +166,9 @@ def places(text: str, quote: str) -> list[tuple[int, int]]:
     return hits
 
 
-def aligned(text: str, raw: str) -> Iterator[tuple[int | None, int | None, str | None, float | None, str]]:
-    """(start, end, type, confidence, reason) of the mentions in an answer; reason is `ok` or why one was rejected."""
+def aligned(text: str, raw: str, units: list[tuple[int, int]] | None = None) -> Iterator[tuple[int | None, int | None, str | None, float | None, str]]:
+    """(start, end, type, confidence, reason) of the mentions in an answer; reason is `ok` or why one was rejected. A mention that
+    names a unit (u1, u2, ...: the chunk's lines) is looked for in it."""
     listed = mentions(salvage(raw)) if raw else None
     if listed is None:
         yield None, None, None, None, "no_payload"
@@ -182,34 +184,79 @@ def aligned(text: str, raw: str) -> Iterator[tuple[int | None, int | None, str |
             yield None, None, None, None, "invalid_type"
         else:
             quote = m["quote"].strip()
-            hits, nth = places(text, quote), m["occurrence"]
+            low, high = 0, len(text)
+            if m.get("unit") is not None:
+                number = re.search(r"u(\d+)$", str(m["unit"]))
+                if not number or not 1 <= int(number[1]) <= len(units or ()):
+                    yield None, None, m["type"], None, "invalid_unit_id"
+                    continue
+                low, high = units[int(number[1]) - 1]
+            hits, nth = [(low + s, low + e) for s, e in places(text[low:high], quote)], m["occurrence"]
             nth = nth if isinstance(nth, int) and 0 <= nth < len(hits) else used.get(quote, 0)
             used[quote] = nth + 1
             if not hits or nth >= len(hits):
                 yield None, None, m["type"], None, "quote_not_found"
+            elif not 0 <= hits[nth][0] < hits[nth][1] <= len(text):
+                yield None, None, m["type"], None, "invalid_aligned_span"
             else:
                 yield hits[nth][0], hits[nth][1], m["type"], m["confidence"], "ok"
 
 
-def proposed(chunks: DataFrame, proposer: Proposer) -> DataFrame:
-    """(doc_id, chunk_id, start, end, type, confidence, reason) of what a proposer says about chunks (doc_id, chunk_id, start_pos, text)."""
+# What a proposer is told about a part of a note, by its role.
+ROLE_POLICY = {
+    "question": "Only facts about the patient described; no choices of an answer and nothing the reader is asked to consider.",
+    "answer": "Only what is said of the patient described; no definitions, explanations or examples.",
+    "medical_article": "Only facts about a concrete patient or case; nothing about a disease in general.",
+    "family_history": "Conditions of relatives, as theirs; never as the patient's.",
+    "personal_history": "Past conditions, symptoms, tests and drugs that are stated.",
+    "medical_history": "Past conditions, symptoms, tests and drugs that are stated.",
+    "epidemiology_history": "Stated exposures, conditions, tests and drugs only.",
+    "treatment": "Whole medication orders first, then all else that is said of the patient.",
+    "lab_or_imaging": "Every line for pairs of test and result, with units; short names and signs of positive and negative count.",
+    "diagnosis": "Each diagnosis on its own, then drugs, tests, results and findings in the same part.",
+}
+ANY_ROLE = "Findings, diagnoses, tests, results and drugs of the patient that this part states."
+CONTEXT_COLUMNS = ("section", "structure_role", "context_before", "context_after")
+
+
+def payload(row: dict, policy: dict[str, str] | None = None) -> dict:
+    """What a proposer is given for a chunk: its text, where it stands, what is around it, its lines, and what to look for."""
+    text = row["text"]
+    out = {"chunk_id": row["chunk_id"], "start": row["start_pos"], "end": row["start_pos"] + len(text), "text": text}
+    out |= {c: row.get(c) or "" for c in CONTEXT_COLUMNS}
+    out["units"] = [{"unit_id": f"c{row['chunk_id']}u{i}", "text": text[s:e]} for i, (s, e) in enumerate(units_of(text), 1)]
+    return out | {"policy": (policy if policy is not None else ROLE_POLICY).get(out["structure_role"], ANY_ROLE)}
+
+
+def proposed(chunks: DataFrame, proposer: Proposer, policy: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, chunk_id, start, end, type, confidence, reason) of what a proposer says about chunks (doc_id, chunk_id, start_pos,
+    text, and the CONTEXT_COLUMNS there are). Chunks without text are not asked about."""
+    around = [c for c in CONTEXT_COLUMNS if c in chunks.columns]
+    kind = {c: chunks.schema[c].dataType.simpleString() for c in ("doc_id", "chunk_id")}
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["doc_id", "chunk_id", "start", "end", "type", "confidence", "reason"]
         for batch in batches:
-            batch = batch[batch.text.notna()]
-            rows = batch.to_dict("records")
+            rows = batch[batch.text.notna()].to_dict("records")
             try:
-                answers = proposer([{"text": r["text"]} for r in rows])
-            except Exception as e:  # one failing endpoint must not fail the job
-                answers = None
-                out = [(r["doc_id"], r["chunk_id"], None, None, None, None, f"failed: {e}"[:200]) for r in rows]
-            if answers is not None:
+                answers = proposer([payload(r, policy) for r in rows])
                 out = [
                     (r["doc_id"], r["chunk_id"], None if s is None else r["start_pos"] + s, None if e is None else r["start_pos"] + e, k, c, why)
                     for r, raw in zip(rows, answers)
-                    for s, e, k, c, why in aligned(r["text"], raw)
+                    for s, e, k, c, why in aligned(r["text"], raw, units_of(r["text"]))
                 ]
-            yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64", "chunk_id": "Int64", "start": "Int64", "end": "Int64", "confidence": "Float64"})
+            except Exception as e:  # one failing endpoint must not fail the job
+                out = [(r["doc_id"], r["chunk_id"], None, None, None, None, f"failed: {e}"[:200]) for r in rows]
+            yield pd.DataFrame(out, columns=columns).astype({"start": "Int64", "end": "Int64", "confidence": "Float64"})
+
+    return chunks.select("doc_id", "chunk_id", "start_pos", "text", *around).mapInPandas(each, f"doc_id {kind['doc_id']}, chunk_id {kind['chunk_id']}, start long, end long, type string, confidence double, reason string")
+
+
+def best_mentions(said: DataFrame) -> DataFrame:
+    """(doc_id, start, end, type, score): the best score of each place and type."""
+    return said.groupBy("doc_id", "start", "end", "type").agg(F.max("score").alias("score"))
+
 
-    return chunks.select("doc_id", "chunk_id", "start_pos", "text").mapInPandas(each, "doc_id long, chunk_id long, start long, end long, type string, confidence double, reason string")
+def rejections(said: DataFrame) -> DataFrame:
+    """How many mentions were aligned or rejected, by reason; failed calls count as one reason."""
+    return said.groupBy(F.when(F.col("reason").startswith("failed:"), "failed").otherwise(F.col("reason")).alias("reason")).agg(F.count("*").alias("n"))

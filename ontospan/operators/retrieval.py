@@ -17,9 +17,11 @@ from ontospan.functions.text import char_ngrams, condition_tokens, key_similarit
 from ontospan.operators import terminology
 from ontospan.session import cut
 
-# Rewrites of the names of conditions, the penalties of sources, codes and gates of single mentions.
+# Rewrites of the names of conditions, the penalties of sources, the least scores of selection.
 PREFIXES = r"^(?:chan doan mac benh|chan doan|duoc chan doan mac benh|duoc chan doan|mac benh|benh|theo doi|nghi ngo) "
 SUFFIXES = r" (?:khong xac dinh|khong dac hieu|unspecified|nos)$"
+LEAST = {"diagnosis": 0.82, "diagnosis_lexical": 0.78, "medication_lexical": 0.82, "drug": 0.70}
+MARGIN = 0.04
 SPELLING = [
     ("sung huyet", "xung huyet"), ("tieu duong", "dai thao duong"), ("da day thuc quan", "da day - thuc quan"), ("khong dac hieu", "khong xac dinh"), ("tuyp", "type"),
     (r"\bdtd\b", "dai thao duong"), (r"\bgut\b", "gout"), (r"\bvkdt\b", "viem khop dang thap"), (r"\btang\s+ha\b", "tang huyet ap"),
@@ -30,12 +32,6 @@ PENALTY = {
     "drug_context_ingredient": 0.10, "diagnosis_core": 0.02, "diagnosis_unspecified": 0.03, "diagnosis_spelling": 0.04, "diagnosis_chronic_shorthand": 0.045,
     "diagnosis_with_benh_prefix": 0.05,
 }
-OVERRIDES = {
-    "benh mach mau ngoai bien khong dac hieu": "I73.9", "benh phoi tac nghen man tinh khong xac dinh": "J44.9", "benh tim mach do xo vua dong mach": "I25.1",
-    "hep dong mach canh trong ben phai": "I65.2", "ho van hai la": "I05.2", "ngung tho khi ngu": "G47.3", "nhoi mau nao": "I63.8", "roi loan chuyen hoa lipid": "E78.8",
-    "rung nhi": "I48.2", "soi duong mat": "K80.4", "soi ong mat chu": "K80.3", "suy tim": "I50.9", "tang ha": "I10", "tha": "I10", "viem tuy cap": "K85.8",
-}
-REJECTED = ("u tuyen", "khoi u truc trang", "benh ly chat trang", "hoi chung nao gan")
 
 
 def core(key: Column) -> Column:
@@ -178,43 +174,91 @@ def drug_hits(mentions: DataFrame, kb: DataFrame, limit: int = 30) -> DataFrame:
     return top_hits(hits, limit).drop("hit_rank")
 
 
-def lookup(mentions: DataFrame, kb: DataFrame, limit: int = 5) -> DataFrame:
-    """All hits of every distinct mention, best first: aliases, then what lexical search adds (for conditions only where aliases
-    gave fewer than limit). Distinct mentions and alias hits are written once, as several branches read them."""
+def curated_hits(mentions: DataFrame, curated: DataFrame) -> DataFrame:
+    """Hits of mentions whose key is in a curated table (concept_type, alias_norm, rank from 0, code): they come before all others."""
+    asked = mentions.select("concept_type", "text").distinct().withColumn("alias_norm", normalize_key(F.col("text")))
+    return asked.join(curated, ["concept_type", "alias_norm"]).groupBy("concept_type", "text", "code").agg(F.min("rank").alias("rank")).select("concept_type", "text", "code", F.lit("curated").alias("source"), (1.65 - 0.025 * F.col("rank")).alias("score"), F.lit(0).alias("priority"))
+
+
+def lookup(mentions: DataFrame, kb: DataFrame, limit: int = 5, curated: DataFrame | None = None) -> DataFrame:
+    """All hits of every distinct mention, best first: curated codes, aliases, then what lexical search adds (for conditions only
+    where these gave fewer than limit); of a code found in several ways the first counts. Distinct mentions and the first hits
+    are written once, as several branches read them."""
     mentions = cut(mentions.select("concept_type", "text").distinct())
-    exact = cut(alias_hits(mentions, kb).select("concept_type", "text", "code", "source", "score", "priority"))
+    exact = alias_hits(mentions, kb).select("concept_type", "text", "code", "source", "score", "priority")
+    key = ["concept_type", "text", "code"]
+    if curated is not None:
+        first = curated_hits(mentions, curated)
+        exact = first.unionByName(exact.join(first, key, "left_anti"))
+    exact = cut(exact)
     enough = exact.groupBy("concept_type", "text").agg(F.count("*").alias("n")).where(F.col("n") >= limit).where(F.col("concept_type") == DIAGNOSIS)
-    searched = mentions.select("concept_type", "text").distinct().join(enough, ["concept_type", "text"], "left_anti")
+    searched = mentions.join(enough, ["concept_type", "text"], "left_anti")
     lexical = lexical_hits(searched, kb, max(limit * 4, 20)).unionByName(drug_hits(mentions, kb, max(limit * 4, 30)))
-    new = lexical.join(exact.select("concept_type", "text", "code"), ["concept_type", "text", "code"], "left_anti")
-    return top_hits(exact.unionByName(new), limit)
+    return top_hits(exact.unionByName(lexical.join(exact.select(*key), key, "left_anti")), limit)
+
+
+def profile_codes(mentions: DataFrame, profiles: DataFrame) -> DataFrame:
+    """mentions (concept_type, text, profile) with the curated codes of exactly this key and kind of line (concept_type, alias_norm,
+    profile, codes); null where there are none, which is not an empty array."""
+    asked = mentions.withColumn("alias_norm", normalize_key(F.col("text")))
+    return asked.join(profiles.select("concept_type", "alias_norm", "profile", F.col("codes").alias("profile_codes")), ["concept_type", "alias_norm", "profile"], "left").drop("alias_norm")
 
 
-def select_codes(hits: DataFrame, kb: DataFrame) -> DataFrame:
+def knowledge(kb: DataFrame, alias_rows: DataFrame | None = None, lexicon: DataFrame | None = None, least_files: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index, curated, profiles) to look codes up in.
+
+    index (concept_type, alias_norm, rank, code, priority): the aliases of the records; where alias_rows (the same columns) has a
+    key, its rows take their place. curated and profiles come from a training lexicon (concept_type, alias_norm, profile or null,
+    code, file_support): codes found in at least least_files files, by file support and code; profile rows are those of a kind of line.
+    """
+    index = terminology.alias_index(kb)
+    if alias_rows is not None:
+        given = alias_rows.select(*index.columns)
+        index = given.unionByName(index.join(given.select("concept_type", "alias_norm").distinct(), ["concept_type", "alias_norm"], "left_anti"))
+    schema = "concept_type string, alias_norm string, profile string, code string, file_support long"
+    rows = (lexicon if lexicon is not None else kb.sparkSession.createDataFrame([], schema)).where(F.col("file_support") >= least_files)
+    order = W.partitionBy("concept_type", "alias_norm").orderBy(F.col("file_support").desc(), "code")
+    curated = rows.where("profile IS NULL").withColumn("rank", F.row_number().over(order) - 1).select("concept_type", "alias_norm", "rank", "code")
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("file_support")).alias("n"), "code")))
+    profiles = rows.where("profile IS NOT NULL").groupBy("concept_type", "alias_norm", "profile").agg(F.transform(F.filter(ranked, lambda x: x["code"].isNotNull()), lambda x: x["code"]).alias("codes"))
+    return index, curated, profiles
+
+
+def candidate_rows(hits: DataFrame, kb: DataFrame) -> DataFrame:
+    """hits with the names of their codes, for people to look at."""
+    names = kb.groupBy("concept_type", "code").agg(F.min_by("record_name", F.struct("priority", "record_id")).alias("record_name"))
+    return hits.join(names, ["concept_type", "code"], "left").select("concept_type", "text", "hit_rank", "code", "record_name", "source", "score", "priority")
+
+
+def select_codes(hits: DataFrame, kb: DataFrame, overrides: DataFrame | None = None, rejected: DataFrame | None = None, mentions: DataFrame | None = None) -> DataFrame:
     """(concept_type, text, code) of the mentions for which one hit is good enough.
 
     Conditions: the top hit above its threshold and, if lexical, with a margin to the next. Drugs: the top hit whose strength
-    matches the mention's, if that has one, above its threshold and not by ingredient alone.
+    matches the mention's, if that has one, above its threshold and not by ingredient alone. A curated hit needs no threshold.
+    overrides (concept_type, alias_norm, code) give their code to all mentions (if given, else those with hits) with that key; those with a key in rejected
+    (concept_type, alias_norm) get none otherwise. Of equal keys with several overrides the smallest code counts.
     """
     names = kb.groupBy("concept_type", "code").agg(F.min_by(F.struct("record_name", "ttys"), F.struct("priority", "record_id")).alias("r"))
     order = W.partitionBy("concept_type", "text").orderBy("hit_rank")
     rows = hits.join(names, ["concept_type", "code"])
     query, candidate = rx.strengths(rx.normalize_rx(F.col("text"))), rx.strengths(rx.normalize_rx(F.col("r.record_name")))
     only_ingredient = (F.size("r.ttys") > 0) & F.forall("r.ttys", lambda t: F.upper(t).isin("IN", "PIN", "MIN", "BN"))
-    usable = (F.col("concept_type") != DRUG) | (F.size(query) == 0) | (F.arrays_overlap(query, candidate) & ~F.coalesce(only_ingredient, F.lit(False)))
+    curated, lexical = F.col("source") == "curated", F.col("source") == "diagnosis_lexical"
+    usable = (F.col("concept_type") != DRUG) | curated | (F.size(query) == 0) | (F.arrays_overlap(query, candidate) & ~F.coalesce(only_ingredient, F.lit(False)))
     rows = rows.where(F.coalesce(usable, F.lit(False))).withColumn("next_score", F.lead("score").over(order)).withColumn("place", F.row_number().over(order)).where("place = 1")
-    good_condition = (F.col("score") >= F.when(F.col("source") == "diagnosis_lexical", 0.78).otherwise(0.82)) & ~((F.col("source") == "diagnosis_lexical") & F.coalesce(F.col("score") - F.col("next_score") < 0.04, F.lit(False)))
-    good_drug = (F.col("source") != "drug_ingredient") & (F.col("score") >= F.when(F.col("source") == "medication_lexical", 0.82).otherwise(0.70))
-    return rows.where(F.when(F.col("concept_type") == DRUG, good_drug).otherwise(good_condition) & ~normalize_key(F.col("text")).isin(*REJECTED)).select("concept_type", "text", "code")
-
-
-def overridden(text: Column, code: Column) -> Column:
-    """The code of a mention that has a fixed one, else the given."""
-    key = normalize_key(text)
-    return F.coalesce(*(F.when(key == k, v) for k, v in OVERRIDES.items()), code)
-
-
-def eligible(kind: Column, mention_key: Column, line_chars: Column, allowed: tuple[str, ...] = tuple(OVERRIDES)) -> Column:
-    """Whether a code may be given here: not to long condition names or on long lines, but for the allowed ones."""
+    good_condition = (F.col("score") >= F.when(lexical, LEAST["diagnosis_lexical"]).otherwise(LEAST["diagnosis"])) & ~(lexical & F.coalesce(F.col("score") - F.col("next_score") < MARGIN, F.lit(False)))
+    good_drug = (F.col("source") != "drug_ingredient") & (F.col("score") >= F.when(F.col("source") == "medication_lexical", LEAST["medication_lexical"]).otherwise(LEAST["drug"]))
+    chosen = rows.where(curated | F.when(F.col("concept_type") == DRUG, good_drug).otherwise(good_condition)).select("concept_type", "text", "code")
+    keyed = lambda t: t.withColumn("alias_norm", normalize_key(F.col("text")))
+    if rejected is not None:
+        chosen = keyed(chosen).join(rejected.select("concept_type", "alias_norm").distinct(), ["concept_type", "alias_norm"], "left_anti").select("concept_type", "text", "code")
+    if overrides is not None:
+        fixed = keyed((mentions if mentions is not None else hits).select("concept_type", "text").distinct()).join(overrides.groupBy("concept_type", "alias_norm").agg(F.min("code").alias("code")), ["concept_type", "alias_norm"]).select("concept_type", "text", "code")
+        chosen = fixed.unionByName(chosen.join(fixed, ["concept_type", "text"], "left_anti"))
+    return chosen
+
+
+def eligible(kind: Column, mention_key: Column, line_chars: Column, allowed: Column | None = None) -> Column:
+    """Whether a code may be given here: not to long condition names or on long lines, unless the mention is allowed anyway."""
     short = (F.length(mention_key) <= 160) & (F.size(F.split(mention_key, " ")) <= 18) & (line_chars < LONG_LINE)
-    return (kind != DIAGNOSIS) | mention_key.isin(*allowed) | (mention_key == "") | short
+    return (kind != DIAGNOSIS) | (allowed if allowed is not None else F.lit(False)) | (mention_key == "") | short

@@ -1,12 +1,13 @@
 """Span reconciliation: overlap resolution, merge, structural gate, relations, nested and duplicate spans.
 
-Greedy choices need the spans of one document together and nothing else, so they are one aggregation by document and a
+Greedy choices need overlapping spans of one document together and nothing else, so they are one aggregation by stretch and a
 fold over a sorted array. Range joins carry the document id as an equality, which makes them hash or merge joins.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ontospan.config import DIAGNOSIS, DRUG, SYMPTOM, TEST_NAME, TEST_RESULT
@@ -23,17 +24,21 @@ def type_rank(c: Column, ranks: dict[str, int] | None = None) -> Column:
     return out
 
 
-def greedy(spans: DataFrame, group: str, order: list[Column], columns: list[str], also_empty: bool = False) -> DataFrame:
+def greedy(spans: DataFrame, group: str, order: list[Column], columns: list[str]) -> DataFrame:
     """The spans kept when each is taken, in the given order, unless it overlaps one taken before: (group, columns).
 
     spans needs start and end; order must be total. Empty and reversed spans are never taken. Documents whose spans are all
-    dropped give no rows.
+    dropped give no rows. A document is cut where no span reaches across, so that the fold sees few spans at a time.
     """
     item = F.struct(*(o.alias(f"_o{i}") for i, o in enumerate(order)), *(F.col(c) for c in columns))
-    per_group = spans.where(F.col("start") < F.col("end")).groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    by_start = W.partitionBy(group).orderBy("start", "end")
+    reach = F.max("end").over(by_start.rowsBetween(W.unboundedPreceding, -1))
+    rows = spans.where(F.col("start") < F.col("end")).withColumn("_gap", (reach.isNull() | (F.col("start") >= reach)).cast("int"))
+    rows = rows.withColumn("_stretch", F.sum("_gap").over(by_start.rowsBetween(W.unboundedPreceding, 0)))
+    per_stretch = rows.groupBy(group, "_stretch").agg(F.array_sort(F.collect_list(item)).alias("items"))
     free = lambda taken, x: ~F.exists(taken, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
     taken = F.aggregate("items", F.filter("items", lambda x: F.lit(False)), lambda acc, x: F.when(free(acc, x), F.array_append(acc, x)).otherwise(acc))
-    return per_group.select(group, F.explode(taken).alias("x")).select(group, *(F.col(f"x.{c}").alias(c) for c in columns))
+    return per_stretch.select(group, F.explode(taken).alias("x")).select(group, *(F.col(f"x.{c}").alias(c) for c in columns))
 
 
 def resolve_overlaps(spans: DataFrame, group: str = "doc_id") -> DataFrame:
@@ -107,7 +112,8 @@ def drop_nested(spans: DataFrame, inner: str = DIAGNOSIS, outer: str = TEST_NAME
     return a.join(b, inside, "left_anti")
 
 
-def dedupe_best(spans: DataFrame, group: str = "doc_id") -> DataFrame:
-    """One span per place and type: the one with most candidates, the first of equal ones by row id."""
-    best = F.max_by(F.struct("row_id", "candidates"), F.struct(F.coalesce(F.size("candidates"), F.lit(0)), -F.col("row_id"))).alias("x")
-    return spans.groupBy(group, "start", "end", "type").agg(best).select(group, "start", "end", "type", "x.row_id", "x.candidates")
+def dedupe_best(spans: DataFrame, group: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """One span per place and type: the one with most candidates, the first of equal ones by row id; with the columns to keep."""
+    columns = ["row_id", "candidates", *(keep or [])]
+    best = F.max_by(F.struct(*columns), F.struct(F.coalesce(F.size("candidates"), F.lit(0)), -F.col("row_id"))).alias("x")
+    return spans.groupBy(group, "start", "end", "type").agg(best).select(group, "start", "end", "type", *(F.col(f"x.{c}") for c in columns))

@@ -51,7 +51,7 @@ def neighbour_context(spark, sf):
 
 
 def packed_chunks(spark, sf):
-    return chunker.packed(table(spark, sf, "documents"))
+    return chunker.split_chunks(table(spark, sf, "documents")).drop("text")
 
 
 def lexicon_spans(spark, sf):
@@ -118,12 +118,12 @@ def best_copies(spark, sf):
 
 
 def context_flags(spark, sf):
-    return assertions.with_flags(in_context(spark, sf)).select("concept_id", "negated", "family", "historical")
+    return assertions.flags_of(in_context(spark, sf, window=assertions.windows)).select("concept_id", "negated", "family", "historical")
 
 
 def concept_problems(spark, sf):
-    rows = in_context(spark, sf).withColumnRenamed("text", "note").join(table(spark, sf, "concepts").select("concept_id", "text", "assertions", "candidates").distinct(), "concept_id")
-    found = policy.problems(F.col("type"), F.col("text"), F.col("start"), F.col("end"), F.col("note"), F.col("assertions"), F.col("candidates"))
+    rows = in_context(spark, sf, there=lambda t, s, e: F.substring(t, s + 1, e - s), n_chars=lambda t, s, e: F.length(t)).join(table(spark, sf, "concepts").select("concept_id", "text", "assertions", "candidates").distinct(), "concept_id")
+    found = policy.problems(F.col("type"), F.col("text"), F.col("start"), F.col("end"), F.col("there"), F.col("n_chars"), F.col("assertions"), F.col("candidates"))
     return rows.select("concept_id", F.explode(found).alias("problem")).distinct()
 
 

@@ -37,22 +37,23 @@ def line_offsets(spark, sf):
     return notes.lines(table(spark, sf, "documents")).select("doc_id", "line_no", "start", "end")
 
 
-def in_context(spark, sf) -> DataFrame:
-    """Concepts with their note's text: spans are gathered per document, so that a text is shuffled once and not per concept."""
+def in_context(spark, sf, **made) -> DataFrame:
+    """Concepts (concept_id, start, end, type) with what `made` works out of their note's text (text, start, end). Spans are
+    gathered per document and worked on as an array, so that a text is shuffled once and never copied per concept."""
     spans = table(spark, sf, "concepts").where(F.size("char_position") == 2).select("doc_id", F.struct("concept_id", F.col("char_position")[0].alias("start"), F.col("char_position")[1].alias("end"), F.col("concept_type").alias("type")).alias("x"))
     per_doc = spans.groupBy("doc_id").agg(F.collect_set("x").alias("xs"))
     joined = table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", "text").join(per_doc, "doc_id")
-    return joined.select("doc_id", "text", F.explode("xs").alias("x")).select("doc_id", "text", "x.*")
+    each = lambda x: F.struct(*(x[c].alias(c) for c in ("concept_id", "start", "end", "type")), *(f(F.col("text"), x["start"], x["end"]).alias(n) for n, f in made.items()))
+    return joined.select("doc_id", F.inline(F.transform("xs", each)))
 
 
 def clause_tails(spark, sf):
-    rows = in_context(spark, sf)
-    return rows.select("concept_id", T.clause_before(F.col("text"), F.col("start")).alias("clause"), T.snippet(F.col("text"), F.col("start"), F.col("end"), 35).alias("snippet"))
+    rows = in_context(spark, sf, clause=lambda t, s, e: T.clause_before(t, s), snippet=lambda t, s, e: T.snippet(t, s, e, 35))
+    return rows.select("concept_id", "clause", "snippet")
 
 
 def span_lines(spark, sf):
-    rows = in_context(spark, sf)
-    return rows.select("concept_id", T.line_length(F.col("text"), F.col("start"), F.col("end")).alias("line_chars"))
+    return in_context(spark, sf, line_chars=T.line_length).select("concept_id", "line_chars")
 
 
 def trimmed_spans(spark, sf):
@@ -115,8 +116,8 @@ def rx_match_scores(spark, sf):
 
 
 def rx_extents(spark, sf):
-    rows = in_context(spark, sf).where(F.col("type") == DRUG)
-    return rows.select("concept_id", rx.extended_end(F.col("text"), F.col("end")).alias("new_end"))
+    rows = in_context(spark, sf, after=lambda t, s, e: F.substring(t, e + 1, F.lit(rx.AHEAD))).where(F.col("type") == DRUG)
+    return rows.select("concept_id", (F.col("end") + rx.extended_end(F.col("after"), F.lit(0))).alias("new_end"))
 
 
 def event_values(spark, sf):

@@ -50,7 +50,7 @@ def test_chunks_keep_their_invariants():
     rng = random.Random(3)
     for _ in range(200):
         text = "".join(rng.choice(["đau bụng, ", "- ho\n", "\n\n", "x" * 90 + ". ", " ", "Khám: không sốt\n", "y" * 700]) for _ in range(rng.randint(0, 60)))
-        spans_ = chunking.chunks_of(text)
+        spans_ = [x[:2] for x in chunking.chunks_of(text)]
         assert all(0 < e - s <= 650 and text[s:e].strip() == text[s:e] for s, e in spans_)
         assert all(a[1] <= b[0] for a, b in zip(spans_, spans_[1:]))
         assert "".join(text.split()) == "".join("".join(text[s:e].split()) for s, e in spans_)
@@ -158,7 +158,7 @@ def test_retry_after():
 
 def test_empty_documents(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert notes.sections(none).count() == notes.role_hits(none).count() == proposals.lab_spans(none).count() == chunking.packed(none).count() == 0
+    assert notes.sections(none).count() == notes.role_hits(none).count() == proposals.lab_spans(none).count() == chunking.split_chunks(none).count() == 0
 
 
 def test_the_lexicon_proposer_quotes_all_terms_where_they_stand(spark, tmp_path):
@@ -180,3 +180,71 @@ def test_flags_know_the_part_and_the_case(spark):
     flags = assertions.with_flags(parts.join(df, "doc_id"), "text", *(F.col(c) for c in ("role", "section", "case_start"))).orderBy("doc_id").collect()
     assert [(r.family, r.historical) for r in flags] == [(True, True), (False, False)]
     assert [r.case_start for r in flags] == [0, texts[1].index("Hồ sơ thứ hai")] and flags[0].role == "family_history"
+
+
+def test_chunks_by_case_block_and_segment(spark):
+    case = "Bệnh nhân vào viện vì ho.\nTiền sử bản thân:\n- hen\nThuốc: " + "sốt " * 25 + "hết\nDặn dò: tái khám"
+    text = f"PHIẾU BÀN GIAO\nTrường hợp thứ nhất\n{case}\nTrường hợp thứ hai\n{case}"
+    df = docs(spark, text, "  \n ", "Ngày xuất 3/4\nNgười nhận: A")
+    rows = chunking.split_chunks(df).orderBy("doc_id", "chunk_no").collect()
+    first = [r for r in rows if r.doc_id == 1]
+    assert [r.chunk_id for r in first] == [f"c{i}" for i in range(1, len(first) + 1)]
+    assert all(text[r.start_pos : r.end_pos] == r.text and r.text.strip() == r.text for r in first)
+    assert not any("sốt sốt" in r.text for r in first) and sum("Dặn dò" in r.text for r in first) == 2  # the run is left out, the next line is not
+    assert {r.context_scope.split(":")[0] for r in first} == {"case_2", "case_3"} and not any(r.text.startswith("PHIẾU") and "ho." not in r.text for r in first)
+    assert all(r.context_before in ("", a.text[-240:]) for a, r in zip(first, first[1:]))
+    assert not [r for r in rows if r.doc_id == 2] and [r.text for r in rows if r.doc_id == 3] == ["Ngày xuất 3/4\nNgười nhận: A"]
+    cases = notes.case_bounds(df.where("doc_id = 1")).orderBy("case_no").collect()
+    assert [r.case_no for r in cases] == [1, 2, 3] and cases[0].start == 0 and cases[-1].end == len(text)
+    points = spark.createDataFrame([(1, text.index("hen")), (9, 0)], "doc_id long, at int")
+    assert {(r.doc_id, r.section) for r in notes.section_at(points, df).collect()} == {(1, "document"), (9, "document")}
+
+
+def test_long_groups_are_cut_at_breaks():
+    text = "Câu một dài. " * 200
+    spans_ = [x[:2] for x in chunking.chunks_of(text)]
+    assert all(e - s <= 650 for s, e in spans_) and all(text[s:e].endswith(".") for s, e in spans_)
+    assert chunking.units_of(" a \n\n  bc") == [(1, 2), (7, 9)] and chunking.segments("x " * 30, 0, 60) == [(0, 60)]
+
+
+def test_orders_need_a_cue(spark):
+    text = "Thuốc uống:\nAspirin 81 mg\nGalxi 5 mg/ml x 3 ống\nBromin A x 2 viên\nNatri 5 mg/l\n" + "z" * 150 + "\nKali 7 mg\n" + "z" * 120
+    assert sorted(r.text for r in proposals.order_lines(docs(spark, text)).collect()) == ["Aspirin 81 mg", "Bromin A x 2 viên", "Galxi 5 mg/ml x 3 ống"]
+
+
+def test_conditions_that_are_none(spark):
+    text = "Chẩn đoán: suy tim.\nChẩn đoán: hình ảnh mờ.\nChẩn đoán là tham dò; Dx: khác\nChẩn đoán: " + "bệnh nhân rất mệt và đau nhiều ngày liền rồi mới vào đây"
+    assert [r.text for r in proposals.cued_conditions(docs(spark, text)).collect()] == ["suy tim"]
+
+
+def test_known_values_and_contextual_results(spark):
+    lexicon = spark.createDataFrame([("creatinin máu", TEST_NAME), ("wb", TEST_NAME), ("tràn dịch", TEST_RESULT), ("nhịp xoang", TEST_RESULT)], "term string, concept_type string")
+    text = "Creatinin máu (lần 2) là 5,6 mmol/L; wb: 3\nCreatinin máu chưa có\n"
+    rows = proposals.known_values(docs(spark, text), lexicon).orderBy("start").collect()
+    assert [(text[r.start : r.end], r.type) for r in rows] == [("Creatinin máu", TEST_NAME), ("5,6 mmol/L", TEST_RESULT)]
+    texts = "Siêu âm: tràn dịch ít", "Tôi bị tràn dịch", "nhịp xoang đều"
+    found = proposals.contextual_results(docs(spark, *texts), lexicon).orderBy("doc_id").collect()
+    assert [(r.doc_id, texts[r.doc_id - 1][r.start : r.end]) for r in found] == [(1, "tràn dịch"), (3, "nhịp xoang")]
+
+
+def test_terms_that_begin_with_a_sign_and_overlaps(spark):
+    lexicon = spark.createDataFrame([("(-) test", TEST_NAME), ("ho ho", SYMPTOM), ("ho", SYMPTOM), ("ho", DIAGNOSIS), (None, DRUG), (" ", DRUG)], "term string, concept_type string")
+    text = "a(-) test, (-) TEST\nho ho ho\nİ ho"
+    got = sorted((text[r.start : r.end], r.type) for r in proposals.lexicon_spans(docs(spark, text), lexicon).collect())
+    assert got == sorted([("(-) TEST", TEST_NAME), *[("ho ho", SYMPTOM)] * 2, *[("ho", SYMPTOM)] * 4, *[("ho", DIAGNOSIS)] * 4])
+    assert proposals.lexicon_spans(docs(spark, text), lexicon.where("false")).count() == 0
+
+
+def test_units_payload_and_best_mentions(spark):
+    raw = json.dumps({"mentions": [{"quote": "ho", "type": SYMPTOM, "unit_id": "c1u2"}, {"quote": "ho", "type": SYMPTOM, "unit_id": "c1u9"}, {"quote": "ho", "type": SYMPTOM, "confidence": 0.9}]})
+    text = "ho\nsốt, ho"
+    assert [(o[0], o[4]) for o in proposer.aligned(text, raw, chunking.units_of(text))][:2] == [(8, "ok"), (None, "invalid_unit_id")]
+    df = spark.createDataFrame([("d", "c", 5, text, "answer")], "doc_id string, chunk_id string, start_pos int, text string, structure_role string")
+    one = proposer.payload(df.first().asDict())
+    assert one["policy"] == proposer.ROLE_POLICY["answer"] and [u["text"] for u in one["units"]] == ["ho", "sốt, ho"] and one["context_before"] == ""
+    said = proposer.proposed(df, proposer.replay_proposer({text: raw}))
+    assert {r.reason for r in proposer.rejections(said).collect()} >= {"ok", "invalid_unit_id"}
+    both = spark.createDataFrame([(1, 0, 2, SYMPTOM, 0.5), (1, 0, 2, SYMPTOM, 0.9), (1, 0, 2, DRUG, 0.1)], "doc_id long, start int, end int, type string, score double")
+    assert {(r.type, r.score) for r in proposer.best_mentions(both).collect()} == {(SYMPTOM, 0.9), (DRUG, 0.1)}
+    rows = chunking.units(df).orderBy("unit_no").collect()
+    assert [(r.start, r.end, r.text) for r in rows] == [(5, 7, "ho"), (8, 15, "sốt, ho")]

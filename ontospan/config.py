@@ -19,6 +19,26 @@ def env(*names: str, default: str = "") -> str:
     return next((v for n in names if (v := os.environ.get(n, "").strip())), default)
 
 
+def flag(*names: str, default: bool = False) -> bool:
+    """A variable as a truth value: 1, true, yes and on are true, other values false."""
+    raw = env(*names)
+    return raw.lower() in ("1", "true", "yes", "on") if raw else default
+
+
+def number(*names: str, default: float) -> float:
+    """A variable as a number; the default where it is none."""
+    try:
+        return type(default)(env(*names) or default)
+    except ValueError:
+        return default
+
+
+def input_folder(root: str) -> str:
+    """The folder `input` of a root, or `test_inputs` where that isn't there."""
+    first = os.path.join(root, "input")
+    return first if os.path.isdir(first) else os.path.join(root, "test_inputs")
+
+
 @dataclass(frozen=True)
 class Settings:
     """Run settings; secrets come from the environment alone."""
@@ -31,4 +51,8 @@ class Settings:
 
     @staticmethod
     def from_env() -> Settings:
-        return Settings(chunk_chars=int(env("ONTOSPAN_CHUNK_CHARS", default="650")), proposer=env("ONTOSPAN_PROPOSER", default="lexicon"))
+        d = Settings()
+        return Settings(
+            chunk_chars=number("ONTOSPAN_CHUNK_CHARS", default=d.chunk_chars), chunk_load=number("ONTOSPAN_CHUNK_LOAD", default=d.chunk_load), lookup_limit=number("ONTOSPAN_LOOKUP_LIMIT", default=d.lookup_limit),
+            repair_empty_candidates=flag("ONTOSPAN_REPAIR", default=d.repair_empty_candidates), proposer=env("ONTOSPAN_PROPOSER", default=d.proposer),
+        )

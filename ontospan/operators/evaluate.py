@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ontospan.functions.text import jaccard, normalize_key, span_iou, token_score, tokens
@@ -50,12 +51,22 @@ def scored_pairs(gold: DataFrame, predicted: DataFrame, least: float = 0.25) ->
 
 
 def greedy_match(pairs: DataFrame) -> DataFrame:
-    """One use of each index: pairs are taken by score, then gold and predicted index."""
+    """One use of each index: pairs are taken by score, then gold and predicted index. Pairs
+    that are the best of both their indexes are taken at once; what then remains open, usually little, is folded by document."""
     item = F.struct((-F.col("score")).alias("o"), "gold_index", "pred_index", "score")
     per_doc = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    rows = per_doc.select("doc_id", F.posexplode("items").alias("n", "x")).select("doc_id", "n", "x.*")
+    # a pair that is the first of both its indexes is taken whatever comes before; the fold sees only the others' documents
+    first = lambda c: F.min("n").over(W.partitionBy("doc_id", c))
+    marked = rows.withColumn("g", first("gold_index")).withColumn("p", first("pred_index")).withColumn("sure", (F.col("n") == F.col("g")) & (F.col("n") == F.col("p")))
+    taken_by = lambda c: F.min(F.when(F.col("sure"), F.col("n"))).over(W.partitionBy("doc_id", c))
+    open_ = marked.withColumn("gs", taken_by("gold_index")).withColumn("ps", taken_by("pred_index"))
+    out = ["doc_id", "gold_index", "pred_index", "score"]
+    sure = open_.where("sure").select(*out)
+    left = open_.where("NOT sure AND gs IS NULL AND ps IS NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     free = lambda acc, x: ~F.exists(acc, lambda y: (y["gold_index"] == x["gold_index"]) | (y["pred_index"] == x["pred_index"]))
     taken = F.aggregate("items", F.filter("items", lambda x: F.lit(False)), lambda acc, x: F.when(free(acc, x), F.array_append(acc, x)).otherwise(acc))
-    return per_doc.select("doc_id", F.explode(taken).alias("x")).select("doc_id", "x.gold_index", "x.pred_index", "x.score")
+    return sure.unionByName(left.select("doc_id", F.explode(taken).alias("x")).select("doc_id", "x.gold_index", "x.pred_index", "x.score"))
 
 
 def document_scores(gold: DataFrame, predicted: DataFrame, matches: DataFrame) -> DataFrame:
@@ -88,8 +99,9 @@ def corpus_score(documents: DataFrame) -> DataFrame:
     return documents.agg(F.count("*").alias("n_documents"), F.round(100 * text, 4).alias("text_score"), F.round(100 * flags, 4).alias("assertion_score"), F.round(100 * codes, 4).alias("candidate_score"), F.round(100 * (0.3 * text + 0.3 * flags + 0.4 * codes), 4).alias("final_score"))
 
 
-def mapping_outcome(expected: Column, predicted: Column, known: Column, retrieved: Column) -> Column:
-    """What became of a mention: expected and predicted codes, whether any expected code is in the terminology, and retrieved codes."""
+def mapping_outcome(expected: Column, predicted: Column, known: Column, retrieved: Column, gated: Column | None = None) -> Column:
+    """What became of a mention: expected and predicted codes, whether any expected code is in the terminology, retrieved codes,
+    and whether the context forbade a code."""
     none = lambda a: F.size(a) == 0
     same = F.size(F.array_except(expected, predicted)) + F.size(F.array_except(predicted, expected)) == 0
     return (
@@ -98,6 +110,7 @@ def mapping_outcome(expected: Column, predicted: Column, known: Column, retrieve
         .when(F.arrays_overlap(expected, predicted), "partial")
         .when(~known, "kb_missing")
         .when(~F.arrays_overlap(expected, retrieved), F.when(none(retrieved), "retrieval_miss").otherwise("retrieval_wrong"))
+        .when(none(predicted) & (F.coalesce(gated, F.lit(False)) if gated is not None else F.lit(False)), "context_gate_abstain")
         .when(none(predicted), "selector_abstain")
         .otherwise("selector_wrong")
     )
@@ -107,3 +120,73 @@ def run_summary(rows: DataFrame, value: str, group: list[str] | None = None) ->
     """Count, mean, median and interpolated 95th percentile."""
     out = [F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, 0.5), 6).alias("p50"), F.round(F.percentile(value, 0.95), 6).alias("p95")]
     return rows.groupBy(*group).agg(*out) if group else rows.agg(*out)
+
+
+def layered_report(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(layer, type, tp, fp, fn, precision, recall, f1): concepts by place, by place and type, and by text and type, of each type and
+    of all (null). Tables have doc_id, type, start, end, text."""
+    layers = {"boundary": ["start", "end"], "exact": ["start", "end", "type"], "text": ["type", "text"]}
+    parts = []
+    for name, item in layers.items():
+        rows = lambda t: t.select("doc_id", *item).withColumn("_kind", F.col("type") if "type" in item else F.lit(None).cast("string"))  # noqa: B023, E731
+        counts = bag_counts(rows(gold), rows(predicted), ["_kind"], ["doc_id", *item]).select(F.col("_kind").alias("type"), "tp", "fp", "fn")
+        totals = counts.groupingSets([["type"], []], "type").agg(F.grouping("type").alias("all"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+        parts.append(precision_recall(totals.where("all = 1 OR type IS NOT NULL").drop("all")).withColumn("layer", F.lit(name)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def error_rows(gold: DataFrame, predicted: DataFrame, matches: DataFrame) -> DataFrame:
+    """(doc_id, gold_index, pred_index, error): a row per kind of error of each concept: text, assertions, candidates, missing, extra."""
+    g, p = (t.select(F.struct("doc_id", "idx", "text", "assertions", "candidates").alias(n)) for t, n in ((gold, "g"), (predicted, "p")))
+    m = matches.select("doc_id", "gold_index", "pred_index")
+    found = m.join(g, (F.col("g.doc_id") == m.doc_id) & (F.col("g.idx") == m.gold_index)).join(p, (F.col("p.doc_id") == m.doc_id) & (F.col("p.idx") == m.pred_index))
+    same = lambda c: F.array_sort(F.array_distinct(F.coalesce(f"g.{c}", F.array().cast("array<string>")))) == F.array_sort(F.array_distinct(F.coalesce(f"p.{c}", F.array().cast("array<string>"))))
+    kinds = F.array(F.when(~F.col("g.text").eqNullSafe(F.col("p.text")), F.lit("text")), *(F.when(~same(c), F.lit(c)) for c in ("assertions", "candidates")))
+    wrong = found.select(m.doc_id, "gold_index", "pred_index", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("error"))
+    alone = lambda t, mine, other, name: t.select("doc_id", F.col("idx").alias(mine)).join(m, ["doc_id", mine], "left_anti").select("doc_id", mine, F.lit(None).cast("int").alias(other), F.lit(name).alias("error"))
+    return wrong.unionByName(alone(gold, "gold_index", "pred_index", "missing")).unionByName(alone(predicted, "pred_index", "gold_index", "extra"))
+
+
+def gold_draft(predicted: DataFrame) -> DataFrame:
+    """predicted as a queue for review: numbered in order of place within a document, each row open, with the fields to decide on."""
+    order = W.partitionBy("doc_id").orderBy("start", "end", "type", "idx")
+    return predicted.select("doc_id", (F.row_number().over(order) - 1).alias("queue_no"), "text", "type", "start", "end", F.lit("open").alias("status"), F.col("candidates").isNotNull().alias("needs_code"))
+
+
+def mapping_stats(rows: DataFrame, group: list[str], ks: tuple[int, ...] = (1, 5, 30)) -> DataFrame:
+    """Per set of the columns in `group`, from the finest to all rows: hit@k, coverage, weighted Jaccard, that of giving no code at
+    all, and the lift over it. rows: the group's columns, expected and predicted code sets, hits (codes found, best first), known
+    (whether the terminology has an expected code). hit@k and coverage are of rows with an expected code."""
+    empty = F.array().cast("array<string>")
+    e, p = F.array_distinct(F.coalesce("expected", empty)), F.array_distinct(F.coalesce("predicted", empty))
+    some, w = F.size(e) > 0, F.size(e) + 1
+    at = {f"hit_{k}": F.when(some, F.arrays_overlap(e, F.slice(F.coalesce("hits", empty), 1, k)).cast("int")) for k in ks}
+    flat = rows.select(*group, *(c.alias(n) for n, c in at.items()), F.when(some, F.col("known").cast("int")).alias("known"), w.alias("w"), jaccard(e, p).alias("j"), (F.size(e) == 0).cast("int").alias("none"))
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
+    score, baseline = F.sum(F.col("w") * F.col("j")) / F.sum("w"), F.sum(F.col("w") * F.col("none")) / F.sum("w")
+    sets = [group[:i] for i in range(len(group), -1, -1)]
+    return flat.groupingSets(sets, *group).agg(F.count("*").alias("n"), *(mean(n).alias(n) for n in at), mean("known").alias("coverage"), F.round(score, 6).alias("weighted_jaccard"), F.round(baseline, 6).alias("baseline"), F.round(score - baseline, 6).alias("lift"))
+
+
+def top_errors(rows: DataFrame, most: int = 20) -> DataFrame:
+    """The most frequent pairs of text and outcome that aren't right, as a report; ties by text and outcome."""
+    wrong = rows.where(~F.col("outcome").isin("exact", "correct_abstain")).groupBy("text", "outcome").agg(F.count("*").alias("n"))
+    return wrong.orderBy(F.col("n").desc(), "text", "outcome").limit(most)
+
+
+def worst_files(rows: DataFrame, most: int = 20) -> DataFrame:
+    """The files with the lowest weighted Jaccard, as a report; ties by file. Files without a row with codes on either side don't count."""
+    empty = F.array().cast("array<string>")
+    e, p = F.array_distinct(F.coalesce("expected", empty)), F.array_distinct(F.coalesce("predicted", empty))
+    per = rows.where((F.size(e) > 0) | (F.size(p) > 0)).select("file", jaccard(e, p).alias("j"), (F.size(e) + 1).alias("w"))
+    return per.groupBy("file").agg(F.round(F.sum(F.col("j") * F.col("w")) / F.sum("w"), 6).alias("weighted_jaccard"), F.count("*").alias("n")).orderBy("weighted_jaccard", "file").limit(most)
+
+
+def bad_positions(rows: DataFrame, may_be_empty: bool = True) -> DataFrame:
+    """(concept_id) of rows whose char_position isn't a pair of numbers in order; evaluators allow equal ones, a validator doesn't."""
+    a, b = F.get("char_position", F.lit(0)), F.get("char_position", F.lit(1))
+    good = (F.size("char_position") == 2) & (a >= 0) & ((a <= b) if may_be_empty else (a < b))
+    return rows.where(~F.coalesce(good, F.lit(False))).select("concept_id").distinct()

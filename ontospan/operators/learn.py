@@ -27,20 +27,32 @@ def set_distribution(gold: DataFrame) -> DataFrame:
     return _sets(gold).groupBy("concept_type", "alias_norm", "codes").agg(F.count("*").alias("support"))
 
 
-def preferred_sets(distribution: DataFrame, most_sets: int = 200) -> DataFrame:
+def preferred_sets(distribution: DataFrame) -> DataFrame:
     """(concept_type, alias_norm, codes): the observed or empty set with the greatest expected weighted Jaccard; null if tied.
 
-    Observed sets of an alias are compared with each other; sets beyond the most_sets most frequent of an alias are still
-    weighed as observations, but aren't candidates themselves.
+    All observed sets of an alias are compared with each other: the pairs, not the sets, are what is aggregated, by alias and
+    choice, so that the sets of a hot alias are spread over tasks once they have met.
     """
     key = ["concept_type", "alias_norm"]
-    ranked = distribution.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy(F.col("support").desc(), F.concat_ws("|", "codes"))))
-    choices = ranked.where(F.col("r") <= most_sets).select(*key, F.col("codes").alias("choice")).unionByName(distribution.select(*key).distinct().select(*key, F.array().cast("array<string>").alias("choice"))).distinct()
+    choices = distribution.select(*key, F.col("codes").alias("choice")).unionByName(distribution.select(*key).distinct().select(*key, F.array().cast("array<string>").alias("choice"))).distinct()
     utility = choices.join(distribution, key).groupBy(*key, "choice").agg(F.round(F.sum(F.col("support") * (F.size("codes") + 1) * jaccard(F.col("codes"), F.col("choice"))), 6).alias("utility"))
     top = utility.groupBy(*key).agg(F.max("utility").alias("best"))
     return utility.join(top, key).where(F.col("utility") == F.col("best")).groupBy(*key).agg(F.when(F.count("*") == 1, F.first("choice")).alias("codes"), F.max("best").alias("utility"))
 
 
+def empty_support(gold: DataFrame) -> DataFrame:
+    """(concept_type, alias_norm, support, file_support, empty_support): how often an alias occurs, in how many files, and uncoded."""
+    rows = _sets(gold).groupBy("concept_type", "alias_norm", "file").agg(F.count("*").alias("n"), F.count_if(F.size("codes") == 0).alias("none"))
+    return rows.groupBy("concept_type", "alias_norm").agg(F.sum("n").alias("support"), F.count("*").alias("file_support"), F.sum("none").alias("empty_support"))
+
+
+def dominant_codes(gold: DataFrame, least: int = 2, share: float = 0.67) -> DataFrame:
+    """(concept_type, alias_norm, codes, share) of the code set, empty or not, that an alias has at least so often."""
+    counts = set_distribution(gold)
+    totals = counts.groupBy("concept_type", "alias_norm").agg(F.sum("support").alias("total"))
+    return counts.join(totals, ["concept_type", "alias_norm"]).where((F.col("total") >= least) & (F.col("support") >= F.col("total") * share)).select("concept_type", "alias_norm", "codes", F.round(F.col("support") / F.col("total"), 6).alias("share"))
+
+
 def learned_rules(items: DataFrame, least_files: int = 2, least_gain: float = 1.0) -> DataFrame:
     """Emission rules per type, alias, profile and assertions: the best fixed code set, where it gains enough over what was
     predicted in at least so many files. items: file, concept_type, alias_norm, profile, assertions, expected, predicted."""
@@ -57,9 +69,11 @@ def learned_rules(items: DataFrame, least_files: int = 2, least_gain: float = 1.
     return best.join(base, key).join(support, key).withColumn("gain", F.round(F.col("utility") - F.col("baseline"), 6)).where(F.col("gain") >= least_gain).select(*key, "codes", "support", "file_support", "gain")
 
 
-def phrase_lexicon(gold: DataFrame, least: int = 10, stop: list[str] | None = None) -> DataFrame:
-    """(concept_type, alias_norm, term, frequency) of phrases of at least two words and so many occurrences, in their first surface form."""
-    rows = gold.select("concept_type", normalize_key(F.col("text")).alias("alias_norm"), "text", "concept_id").where(F.col("alias_norm").contains(" "))
+def phrase_lexicon(gold: DataFrame, least: int = 10, stop: list[str] | None = None, single: list[str] | None = None) -> DataFrame:
+    """(concept_type, alias_norm, term, frequency) of phrases of at least two words, and of the single words allowed, with so many
+    occurrences, in their first surface form; without the stop phrases."""
+    rows = gold.select("concept_type", normalize_key(F.col("text")).alias("alias_norm"), "text", "concept_id")
+    rows = rows.where(F.col("alias_norm").contains(" ") | (F.col("alias_norm").isin(single) if single else F.lit(False)))
     counts = rows.groupBy("concept_type", "alias_norm").agg(F.min_by("text", F.struct("concept_id", "text")).alias("term"), F.count("*").alias("frequency")).where(F.col("frequency") >= least)
     return counts.where(~F.col("alias_norm").isin(stop)) if stop else counts
 
@@ -78,8 +92,8 @@ def supplemental(gold: DataFrame, kb: DataFrame) -> DataFrame:
     return names.groupBy("concept_type", "code").agg(F.max_by("text", F.struct("n", "text")).alias("name"), F.sum("n").alias("support"))
 
 
-def restored(current: DataFrame, older: DataFrame) -> DataFrame:
-    """current with empty candidates taken from the older version's concept at the same place, text and type."""
-    key = ["doc_id", "char_position", "text", "concept_type"]
+def restored(current: DataFrame, older: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """current with empty candidates taken from the older version's concept at the same place, text and type, and of equal `also` columns."""
+    key = [*(also or []), "doc_id", "char_position", "text", "concept_type"]
     old = older.where(F.size("candidates") > 0).groupBy(*key).agg(F.min("candidates").alias("old_candidates"))
     return current.join(old, key, "left").withColumn("restored", F.when(F.size("candidates") == 0, F.coalesce("old_candidates", "candidates")).otherwise(F.col("candidates"))).drop("old_candidates")

@@ -77,23 +77,48 @@ def retry_after(header: str | None, message: str, default: float = 8.0) -> float
         return (float(m[1]) / (1000 if m[2] == "ms" else 1)) if m else default
 
 
+def chat(model: str, prompt: str, chunk: dict, budget: int, json_mode: bool) -> dict:
+    """The body of a chat request."""
+    messages = [{"role": "system", "content": prompt}, {"role": "user", "content": json.dumps(chunk, ensure_ascii=False)}]
+    return {"model": model, "max_tokens": budget, "temperature": 0, "messages": messages} | ({"response_format": {"type": "json_object"}} if json_mode else {})
+
+
+def cut_off(finish_reason: str | None, message: str) -> bool:
+    """Whether an answer ended for want of tokens: by its reason, or by what an error says."""
+    low = message.lower()
+    return finish_reason == "length" or ("max_tokens" in low or "token limit" in low) and any(x in low for x in ("reached", "exceeded", "truncated", "finish"))
+
+
+def healthy(url: str, timeout: float = 2.0) -> bool:
+    """Whether an endpoint answers a GET in time."""
+    try:
+        with urllib.request.urlopen(url, timeout=timeout) as answer:
+            return 200 <= answer.status < 300
+    except (OSError, ValueError):
+        return False
+
+
 def api_proposer(url: str, model: str, prompt: str, attempts: int = 6, tokens: int = 1400, timeout: float = 120, key_variable: str = "ONTOSPAN_API_KEY") -> Proposer:
     """A chat endpoint. The token budget doubles when an answer was cut off; rate limits are waited out; TLS is verified."""
 
     def ask(chunk: dict) -> str:
-        budget, last = tokens, ""
+        budget, last, json_mode = tokens, "", True
         for _ in range(attempts):
-            body = {"model": model, "max_tokens": budget, "temperature": 0, "response_format": {"type": "json_object"}, "messages": [{"role": "system", "content": prompt}, {"role": "user", "content": json.dumps(chunk, ensure_ascii=False)}]}
+            body = chat(model, prompt, chunk, budget, json_mode)
             request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {env(key_variable)}"})
             try:
                 with urllib.request.urlopen(request, timeout=timeout) as answer:
                     choice = json.load(answer)["choices"][0]
-                if choice.get("finish_reason") != "length":
+                if not cut_off(choice.get("finish_reason"), ""):
                     return choice["message"]["content"]
                 budget *= 2
             except urllib.error.HTTPError as e:
                 last = e.read().decode(errors="replace")
-                if e.code == 429:
+                if cut_off(None, last):
+                    budget *= 2
+                elif e.code == 400 and json_mode and "response_format" in last:
+                    json_mode = False  # an endpoint without a JSON mode
+                elif e.code == 429:
                     time.sleep(min(65.0, max(1.0, retry_after(e.headers.get("Retry-After"), last) + 0.75)))
             except (OSError, ValueError, KeyError) as e:
                 last = str(e)

@@ -27,9 +27,15 @@ SPELLING = [
     (r"\bdtd\b", "dai thao duong"), (r"\bgut\b", "gout"), (r"\bvkdt\b", "viem khop dang thap"), (r"\btang\s+ha\b", "tang huyet ap"),
     (r"\btang\s+huyet+t\s+ap\b", "tang huyet ap"), (r"\btyp\s*ii\b", "type 2"), (r"\b(man|cap)\b(?! tinh\b)", "$1 tinh"),
 ]
+MEASURES = [(r"\b\d+(?:[.,-]\d+)?\s*%(?!\w)", " "), (r"\b(?:m?rs|abcd2|balthazar)\s*\w*\b", " "), (r"\b\d+\s*(?:d|diem)\b", " ")]
+SETTING = [(r"^(?:theo doi|nghi ngo|tien su|co tien su)\s+", ""), (r"\s+(?:gio thu|cach day)\s+\d+\b.*$", "")]
+HISTORY_PREFIX = r"^(?:tien su|co tien su|duoc phat hien|phat hien|dang dieu tri|da dieu tri) "
+QUALIFIER = {"stage": (0.16, -0.25, -0.45), "acuity": (0.08, -0.16, -0.30), "side": (0.10, -0.18, -0.35), "kind": (0.10, -0.20, -0.35)}  # equal, missing, other
+VAGUE = (0.08, -0.10, -0.08)  # both vague, only the mention, only the name where the mention has a qualifier
+STAGES = {"cuoi": "5", "i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5"}
 PENALTY = {
     "exact": 0.0, "drug_unit": 0.005, "drug_no_count": 0.015, "drug_core": 0.03, "drug_no_release_token": 0.04, "drug_ingredient": 0.12, "drug_context_core": 0.035,
-    "drug_context_ingredient": 0.10, "diagnosis_core": 0.02, "diagnosis_unspecified": 0.03, "diagnosis_spelling": 0.04, "diagnosis_chronic_shorthand": 0.045,
+    "drug_context_ingredient": 0.10, "diagnosis_core": 0.02, "diagnosis_canonical": -0.03, "diagnosis_unspecified": 0.03, "diagnosis_spelling": 0.04, "diagnosis_chronic_shorthand": 0.045,
     "diagnosis_with_benh_prefix": 0.05,
 }
 
@@ -46,8 +52,30 @@ def unspecific(key: Column) -> Column:
     return F.regexp_replace(key, SUFFIXES, "")
 
 
-def variants(text: Column, kind: Column) -> Column:
-    """Array of struct(rank, source, key): the distinct keys under which a mention is looked up, the first source of each."""
+def without_measures(key: Column) -> Column:
+    """A condition's key without shares, named scores and points."""
+    return rx.squeezed(rx.rewritten(key, MEASURES))
+
+
+def without_setting(key: Column) -> Column:
+    """A condition's key without what says how it is known or when it was."""
+    return rx.squeezed(rx.rewritten(key, SETTING))
+
+
+def search_key(key: Column) -> Column:
+    return rx.squeezed(F.regexp_replace(unspecific(core(spelled(key))), HISTORY_PREFIX, ""))
+
+
+def search_keys(text: Column) -> Column:
+    """The distinct keys under which a condition is searched for by likeness."""
+    key = normalize_key(text)
+    forms = [key, core(key), spelled(key), unspecific(key), without_measures(key), without_setting(key)]
+    return F.array_distinct(F.filter(F.array(*(search_key(k) for k in forms)), lambda k: k != ""))
+
+
+def variants(text: Column, kind: Column, canonical: Column | None = None) -> Column:
+    """Array of struct(rank, source, key): the distinct keys under which a mention is looked up, the first source of each. canonical: the
+    name that a table of canonical names has for a condition; it comes first."""
     key = normalize_key(text)
     drug = rx.normalize_rx(text)
     drug_core, context = rx.without_route(drug), rx.without_context(drug)
@@ -59,8 +87,9 @@ def variants(text: Column, kind: Column) -> Column:
         ("diagnosis_core", core(key)), ("diagnosis_spelling", spelled(key)), ("diagnosis_unspecified", unspecific(key)),
         ("diagnosis_chronic_shorthand", F.regexp_replace(key, SPELLING[-1][0], SPELLING[-1][1])), ("diagnosis_with_benh_prefix", F.concat(F.lit("benh "), key)),
     ]
-    listed = lambda pairs: F.array(*(F.struct(F.lit(s).alias("source"), k.alias("key")) for s, k in [("exact", key), *pairs]))
-    every = F.when(kind == DRUG, listed(of_drug)).when(kind == DIAGNOSIS, listed(of_condition))
+    first = [("diagnosis_canonical", F.coalesce(canonical, F.lit("")))] if canonical is not None else []
+    listed = lambda pairs: F.array(*(F.struct(F.lit(s).alias("source"), k.alias("key")) for s, k in pairs))
+    every = F.when(kind == DRUG, listed([("exact", key), *of_drug])).when(kind == DIAGNOSIS, listed([*first, ("exact", key), *of_condition]))
     # bound to a variable by the outer transform, as it would be worked out for every element otherwise
     firsts = lambda all_: F.filter(all_, lambda x, i: (x["key"] != "") & (F.array_position(F.transform(all_, lambda y: y["key"]), x["key"]) == i + 1))
     return F.get(F.transform(F.array(every), firsts), 0)
@@ -72,7 +101,7 @@ def with_adjustment(rows: DataFrame, query: str, candidate: str, into: str) -> D
     Every qualifier is a column of its own for a while, so that long expressions aren't repeated in the generated code.
     """
     stage = lambda k: F.regexp_extract(k, r"\bgiai doan\s+(cuoi|[1-5]|i{1,3}|iv|v)\b", 1)
-    arabic = lambda s: reduce(lambda c, kv: F.when(s == kv[0], kv[1]).otherwise(c), {"cuoi": "5", "i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5"}.items(), s)
+    arabic = lambda s: reduce(lambda c, kv: F.when(s == kv[0], kv[1]).otherwise(c), STAGES.items(), s)
     acuity = lambda k: F.when(k.rlike(r"\bcap(?: tinh)?\b"), "acute").when(k.rlike(r"\bman(?: tinh)?\b"), "chronic").otherwise("")
     side = lambda k: F.when(k.rlike(r"\b(?:hai ben|bilateral)\b"), "both").when(k.rlike(r"\b(?:trai|left)\b"), "left").when(k.rlike(r"\b(?:phai|right)\b"), "right").otherwise("")
     kind = lambda k: F.regexp_extract(k, r"\b(?:type|tip)\s*([12])\b", 1)
@@ -82,11 +111,11 @@ def with_adjustment(rows: DataFrame, query: str, candidate: str, into: str) -> D
     out = out.withColumns({f"_{x}_{n}": f(F.col(f"_{x}0")) for x in "qc" for n, f in parts.items()})
     out = out.withColumns({f"_{x}_stage": arabic(F.col(f"_{x}_stage")) for x in "qc"})
     total, stated = F.lit(0.0), F.lit(False)
-    for n, match, missing, conflict in (("stage", 0.16, -0.25, -0.45), ("acuity", 0.08, -0.16, -0.30), ("side", 0.10, -0.18, -0.35), ("kind", 0.10, -0.20, -0.35)):
+    for n, (match, missing, conflict) in QUALIFIER.items():
         q, c = F.col(f"_q_{n}"), F.col(f"_c_{n}")
         total += F.when(q == "", 0.0).when(c == "", missing).when(q == c, match).otherwise(conflict)
         stated = stated | (q != "")
-    total += F.when(F.col("_q_vague"), F.when(F.col("_c_vague"), 0.08).otherwise(-0.10)).when(F.col("_c_vague") & stated, -0.08).otherwise(0.0)
+    total += F.when(F.col("_q_vague"), F.when(F.col("_c_vague"), VAGUE[0]).otherwise(VAGUE[1])).when(F.col("_c_vague") & stated, VAGUE[2]).otherwise(0.0)
     return out.withColumn(into, total).drop("_q0", "_c0", *(f"_{x}_{n}" for x in "qc" for n in parts))
 
 
@@ -95,11 +124,17 @@ def hit_score(source: Column, rank: Column, priority: Column) -> Column:
     return 1.0 - penalty - F.least(rank, F.lit(20)) * 0.01 - F.least(priority, F.lit(100)) * 0.001
 
 
-def alias_hits(mentions: DataFrame, kb: DataFrame) -> DataFrame:
-    """(concept_type, text, code, source, score, priority): codes by equality of a variant with an alias; per code the first variant."""
-    index = terminology.alias_index(kb)
+def alias_hits(mentions: DataFrame, kb: DataFrame, canonical: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """(concept_type, text, code, source, score, priority): codes by equality of a variant with an alias; per code the first variant.
+    canonical (alias_norm, canonical): the names to look conditions up by, whose keys without prefix and respelled are alias_norm;
+    index: that of knowledge(), if not of kb."""
+    index = index if index is not None else terminology.alias_index(kb)
     records = kb.groupBy("concept_type", "code").agg(F.min_by("record_name", F.struct("priority", "record_id")).alias("record_name"), F.min("priority").alias("record_priority"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("ttys", F.array().cast("array<string>"))))).alias("ttys"))
-    asked = mentions.select("concept_type", "text").distinct().select("concept_type", "text", F.posexplode(variants(F.col("text"), F.col("concept_type"))).alias("variant", "x")).select("concept_type", "text", "variant", F.col("x.source").alias("source"), F.col("x.key").alias("alias_norm"))
+    asked = mentions.select("concept_type", "text").distinct()
+    if canonical is not None:
+        names = canonical.groupBy(F.col("alias_norm").alias("_key")).agg(F.min("canonical").alias("_canonical"))
+        asked = asked.withColumn("_key", spelled(core(normalize_key(F.col("text"))))).join(names, "_key", "left")
+    asked = asked.select("concept_type", "text", F.posexplode(variants(F.col("text"), F.col("concept_type"), F.col("_canonical") if canonical is not None else None)).alias("variant", "x")).select("concept_type", "text", "variant", F.col("x.source").alias("source"), F.col("x.key").alias("alias_norm"))
     found = asked.join(index, ["concept_type", "alias_norm"]).join(records, ["concept_type", "code"])
     first = found.groupBy("concept_type", "text", "code").agg(F.min_by(F.struct("source", "rank", "record_priority", "record_name", "ttys"), F.struct("variant", "rank")).alias("x")).select("concept_type", "text", "code", "x.*")
     is_drug = F.col("concept_type") == DRUG
@@ -116,23 +151,25 @@ def top_hits(hits: DataFrame, limit: int) -> DataFrame:
     return hits.withColumn("hit_rank", F.row_number().over(order)).where(F.col("hit_rank") <= limit)
 
 
-def preliminary(mentions: DataFrame, docs: DataFrame, most: int = 240, token_docs: int = 1600, gram_docs: int = 2200) -> DataFrame:
-    """(text, query, alias): per mention the aliases with most weight of rare tokens and character 3-grams in common."""
-    asked = mentions.select("text").distinct().withColumn("query", unspecific(core(spelled(normalize_key(F.col("text")))))).where("query <> ''")
-    asked = asked.withColumn("text_id", F.xxhash64("text"))
-    by_id = lambda p: p.select("item", F.xxhash64("alias").alias("alias_id"), "idf")
-    tokens = asked.select("text_id", F.explode(F.array_distinct(condition_tokens(F.col("query")))).alias("item")).join(by_id(terminology.postings(docs, "tokens", token_docs)), "item")
-    grams = asked.select("text_id", F.explode(char_ngrams(F.col("query"))).alias("item")).join(by_id(terminology.postings(docs, "grams", gram_docs)), "item")
-    # votes are counted under 64-bit ids; the strings are joined back to the few that are kept
-    votes = tokens.select("text_id", "alias_id", (F.col("idf") * 3).alias("vote")).unionByName(grams.select("text_id", "alias_id", F.col("idf").alias("vote"))).groupBy("text_id", "alias_id").agg(F.round(F.sum("vote"), 6).alias("votes"))
-    kept = votes.withColumn("vote_rank", F.row_number().over(W.partitionBy("text_id").orderBy(F.col("votes").desc(), "alias_id"))).where(F.col("vote_rank") <= most)
-    return kept.join(asked, "text_id").join(docs.select(F.xxhash64("alias").alias("alias_id"), "alias"), "alias_id").select("text", "query", "alias", "votes", "vote_rank")
+def preliminary(queries: DataFrame, docs: DataFrame, most: int = 240, token_docs: int = 1600, gram_docs: int = 2200) -> DataFrame:
+    """(query, alias, votes, vote_rank): per query key the aliases with most weight of rare tokens and character 3-grams in common."""
+    asked = queries.select("query").distinct().where("query <> ''").withColumn("query_id", terminology.text_id(F.col("query")))
+    micro = lambda c: F.round(c * 1_000_000).cast("bigint")  # votes are whole numbers, so that sums don't depend on their order
+    by_id = lambda p: p.select("item", terminology.text_id(F.col("alias")).alias("alias_id"), micro(F.col("idf")).alias("idf"))
+    tokens = asked.select("query_id", F.explode(F.array_distinct(condition_tokens(F.col("query")))).alias("item")).join(by_id(terminology.postings(docs, "tokens", token_docs)), "item")
+    grams = asked.select("query_id", F.explode(char_ngrams(F.col("query"))).alias("item")).join(by_id(terminology.postings(docs, "grams", gram_docs)), "item")
+    # votes are counted under 60-bit ids; the strings are joined back to the few that are kept
+    votes = tokens.select("query_id", "alias_id", (F.col("idf") * 3).alias("vote")).unionByName(grams.select("query_id", "alias_id", F.col("idf").alias("vote"))).groupBy("query_id", "alias_id").agg(F.sum("vote").alias("votes"))
+    kept = votes.withColumn("vote_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("votes").desc(), "alias_id"))).where(F.col("vote_rank") <= most)
+    return kept.join(asked, "query_id").join(docs.select(terminology.text_id(F.col("alias")).alias("alias_id"), "alias"), "alias_id").select("query", "alias", "votes", "vote_rank")
 
 
 def lexical_scores(candidates: DataFrame, docs: DataFrame, with_sequence: bool = True) -> DataFrame:
-    """(text, alias, similarity): the exact score of preliminary pairs; pairs with too little in common get 0, and those that
+    """(query, alias, codes, similarity, threshold): the exact score of preliminary pairs; pairs with too little in common get 0, and those that
     stay below their threshold in any case may lack the share of the matching-block ratio."""
     pairs = candidates.join(docs.select("alias", "tokens", "grams", "codes"), "alias")
+    if with_sequence:  # spread over a given number of tasks: few bytes, but the ratio takes long
+        pairs = pairs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query", "alias")
     q, g = F.array_distinct(condition_tokens(F.col("query"))), char_ngrams(F.col("query"))
     shared, shared_grams = F.size(F.array_intersect(q, F.col("tokens"))), F.size(F.array_intersect(g, F.col("grams")))
     over = lambda n, d: n / F.greatest(F.lit(1), d)
@@ -143,20 +180,22 @@ def lexical_scores(candidates: DataFrame, docs: DataFrame, with_sequence: bool =
     base = base - F.greatest(F.lit(0.0), 0.55 - ratio) * 0.12
     little = ((shared == 0) & (shared_grams < 3)) | (~inside & (recall < 0.55))
     threshold = F.when(F.size(q) <= 2, 0.58).when(F.size(q) <= 4, 0.50).otherwise(0.46)
-    scored = pairs.select("text", "query", "alias", "codes", F.when(~little, base).alias("base"), threshold.alias("threshold"))
-    # the ratio adds 0.14 at most: pairs that can't reach the threshold with it don't need it
-    reach = F.col("base") + 0.14 >= F.col("threshold")
+    scored = pairs.select("query", "alias", "codes", F.when(~little, base).alias("base"), threshold.alias("threshold"))
+    # a ratio is at most 1 - edits / both lengths: pairs that can't reach the threshold with it don't need it
+    most = 1 - F.levenshtein("query", "alias") / (F.length("query") + F.length("alias"))
+    reach = (F.col("base") + 0.14 >= F.col("threshold")) & F.when(F.col("base") + 0.14 >= F.col("threshold"), F.col("base") + 0.14 * most + 1e-9 >= F.col("threshold"))
     sequence = F.coalesce(key_similarity(F.when(reach, F.col("query")), F.when(reach, F.col("alias"))), F.lit(0.0)) if with_sequence else F.lit(0.0)
-    return scored.select("text", "query", "alias", "codes", F.coalesce(F.col("base") + 0.14 * sequence, F.lit(0.0)).alias("similarity"), "threshold")
+    return scored.select("query", "alias", "codes", F.coalesce(F.col("base") + 0.14 * sequence, F.lit(0.0)).alias("similarity"), "threshold")
 
 
 def lexical_hits(mentions: DataFrame, kb: DataFrame, limit: int = 20) -> DataFrame:
     """(concept_type, text, code, source, score, priority) of conditions that resemble a mention enough."""
     docs = terminology.condition_documents(kb, DIAGNOSIS)
-    scored = lexical_scores(preliminary(mentions.where(F.col("concept_type") == DIAGNOSIS), docs), docs).where(F.col("similarity") >= F.col("threshold"))
-    best = scored.select("text", F.explode("codes").alias("code"), "similarity").groupBy("text", "code").agg(F.max("similarity").alias("similarity"))
+    asked = mentions.where(F.col("concept_type") == DIAGNOSIS).select("text").distinct().select("text", F.explode(search_keys(F.col("text"))).alias("query"))
+    scored = lexical_scores(preliminary(asked, docs), docs).where(F.col("similarity") >= F.col("threshold"))
+    best = asked.join(scored, "query").select("text", F.explode("codes").alias("code"), "similarity").groupBy("text", "code").agg(F.max("similarity").alias("similarity"))
     records = kb.where(F.col("concept_type") == DIAGNOSIS).groupBy("code").agg(F.min_by("record_name", F.struct("priority", "record_id")).alias("record_name"), F.min("priority").alias("priority"))
-    hits = with_adjustment(best.join(records, "code"), "text", "record_name", "adjust").select(F.lit(DIAGNOSIS).alias("concept_type"), "text", "code", F.lit("diagnosis_lexical").alias("source"), (0.45 + 0.4 * F.col("similarity") + F.col("adjust") - F.col("priority") * 0.0005).alias("score"), "priority")
+    hits = with_adjustment(best.join(records, "code"), "text", "record_name", "adjust").select(F.lit(DIAGNOSIS).alias("concept_type"), "text", "code", F.lit("diagnosis_lexical").alias("source"), (0.45 + 0.4 * F.least("similarity", F.lit(1.0)) + F.col("adjust") - F.least("priority", F.lit(100)) * 0.0005).alias("score"), "priority")
     return top_hits(hits, limit).drop("hit_rank")
 
 
@@ -180,12 +219,12 @@ def curated_hits(mentions: DataFrame, curated: DataFrame) -> DataFrame:
     return asked.join(curated, ["concept_type", "alias_norm"]).groupBy("concept_type", "text", "code").agg(F.min("rank").alias("rank")).select("concept_type", "text", "code", F.lit("curated").alias("source"), (1.65 - 0.025 * F.col("rank")).alias("score"), F.lit(0).alias("priority"))
 
 
-def lookup(mentions: DataFrame, kb: DataFrame, limit: int = 5, curated: DataFrame | None = None) -> DataFrame:
+def lookup(mentions: DataFrame, kb: DataFrame, limit: int = 5, curated: DataFrame | None = None, canonical: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """All hits of every distinct mention, best first: curated codes, aliases, then what lexical search adds (for conditions only
     where these gave fewer than limit); of a code found in several ways the first counts. Distinct mentions and the first hits
     are written once, as several branches read them."""
     mentions = cut(mentions.select("concept_type", "text").distinct())
-    exact = alias_hits(mentions, kb).select("concept_type", "text", "code", "source", "score", "priority")
+    exact = alias_hits(mentions, kb, canonical, index).select("concept_type", "text", "code", "source", "score", "priority")
     key = ["concept_type", "text", "code"]
     if curated is not None:
         first = curated_hits(mentions, curated)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import io
+import os
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,8 @@ from ontospan.functions.text import natural_order
 
 KB_SCHEMA = "code string, system string, type string, name string, name_vi string, name_en string, priority int, archive boolean, ttys array<string>, aliases array<string>, alias_norms array<string>"
 CONCEPT_SCHEMA = "text string, type string, position array<int>, assertions array<string>, candidates array<string>"
+# Fields of a classification's JSON lines that name a condition.
+ICD_FIELDS = ("disease_name_vi", "disease_name_en", "three_char_name_vi", "three_char_name_en", "guidance", "disease_name_vi_norm", "disease_name_en_norm")
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1258", "latin-1")
 
 
@@ -38,13 +42,18 @@ def decoded(content: Column) -> Column:
     return F.when(plain, F.regexp_replace(content.cast("string"), "^﻿", "")).otherwise(other(F.when(~plain, content)))
 
 
-def read_notes(spark: SparkSession, folder: str, recursive: bool = True, limit: int | None = None) -> DataFrame:
-    """(name, text) of the .txt files of a folder in natural order of their names."""
+def read_notes(spark: SparkSession, folder: str, recursive: bool = True, limit: int | None = None, whole_numbers: bool = False) -> DataFrame:
+    """(name, text) of the .txt files of a folder; with a limit the first in natural order of their names. whole_numbers: only names
+    that are numbers throughout are ordered by them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.txt$", "")
     rows = files.select(stem.alias("name"), decoded(F.col("content")).alias("text"))
+    if whole_numbers:
+        order = [F.coalesce(F.col("name").try_cast("bigint"), F.lit(1_000_000_000)), F.col("name")]
+    else:
+        order = natural_order(F.col("name"))
     if limit is not None:  # the feature: the first notes in order
-        return rows.orderBy(*natural_order(F.col("name"))).limit(max(0, limit))
+        return rows.orderBy(*order).limit(max(0, limit))
     return rows
 
 
@@ -88,9 +97,9 @@ def read_rrf_archive(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("code", "name", "tty", F.lit(False).alias("preferred"), F.lit(50).alias("priority"), F.lit(True).alias("archived"))
 
 
-def read_icd(spark: SparkSession, path: str) -> DataFrame:
+def read_icd(spark: SparkSession, path: str, fields: tuple[str, ...] | None = None) -> DataFrame:
     """(code, name, aliases) of JSON lines with a code and names in several fields."""
-    fields = ["disease_name_vi", "disease_name_en", "three_char_name_vi", "three_char_name_en", "guidance", "disease_name_vi_norm", "disease_name_en_norm"]
+    fields = list(fields or ICD_FIELDS)
     rows = read_jsonl(spark, path, "disease_code string, disease_code_nodot string, " + ", ".join(f"{f} string" for f in fields)).where("disease_code <> ''")
     aliases = F.array_distinct(F.filter(F.array(*(F.trim(F.col(f)) for f in fields)), lambda x: x.isNotNull() & (x != "")))
     return rows.select(F.col("disease_code").alias("code"), F.coalesce("disease_name_vi", "disease_name_en").alias("name"), aliases.alias("aliases"))
@@ -134,12 +143,36 @@ def read_lexicon(spark: SparkSession, path: str, types: list[str]) -> DataFrame:
     return rows.where(F.col("type").isin(types) & (F.trim("term") != "")).select(F.trim("term").alias("term"), F.col("type").alias("concept_type")).distinct()
 
 
+def read_ontology_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """(system, code, name, aliases) of all .csv, .txt and .json files right in a folder: those with `rx` in their name are of drugs,
+    those with `icd` of conditions; others are left out. A folder that isn't there gives no rows."""
+    readers_ = {".csv": read_ontology_csv, ".txt": read_ontology_txt, ".json": read_ontology_json}
+    out = spark.createDataFrame([], "system string, code string, name string, aliases array<string>")
+    for name in sorted(os.listdir(folder)) if os.path.isdir(folder) else []:
+        stem, suffix = os.path.splitext(name.lower())
+        system = "RxNorm" if "rx" in stem else "ICD10" if "icd" in stem else None
+        if system and suffix in readers_:
+            out = out.unionByName(readers_[suffix](spark, os.path.join(folder, name), system))
+    return out
+
+
+def ontology_or(spark: SparkSession, index: str, otherwise: DataFrame) -> DataFrame:
+    """The entries of an index in Parquet if it is there and not empty, else the given ones."""
+    try:
+        found = spark.read.parquet(index)
+        return found if found.limit(1).count() else otherwise
+    except AnalysisException:
+        return otherwise
+
+
 def read_zipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value) of the lines of the first .txt file in each zip archive."""
+    """(value) of the lines of the first .txt file in each zip archive; archives that can't be read give none."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for raw in batch.content:
+                if not zipfile.is_zipfile(io.BytesIO(raw)):
+                    continue
                 with zipfile.ZipFile(io.BytesIO(raw)) as z:
                     names = [n for n in z.namelist() if n.lower().endswith(".txt")]
                     if names:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ontospan.config import CODED
+from ontospan.sources.readers import checksum
 
 
 def concept_rows(concepts: DataFrame) -> DataFrame:
@@ -44,6 +45,19 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None, form: str
     (writer.partitionBy(*by) if by else writer).save(path)
 
 
+def write_manifest(path: str, files: dict[str, str], counts: dict[str, int]) -> None:
+    """A JSON manifest of local files with their checksums, and of row counts; it appears whole or not at all."""
+    listed = {name: {"path": file, "sha256": checksum(file)} for name, file in sorted(files.items())}
+    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+        json.dump({"files": listed, "counts": counts}, f, ensure_ascii=False, indent=2, sort_keys=True)
+    os.replace(f"{path}.tmp", path)
+
+
+def status_report(tables: dict[str, DataFrame]) -> str:
+    """The inventory as a Markdown table."""
+    return "\n".join(["| Table | Rows |", "| --- | --- |", *(f"| {name} | {n} |" for name, n in inventory(tables))])
+
+
 def inventory(tables: dict[str, DataFrame]) -> list[tuple[str, int]]:
     """Names and row counts, for status reports."""
     return [(name, df.count()) for name, df in tables.items()]

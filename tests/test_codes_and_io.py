@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ontospan.config import DIAGNOSIS, DRUG, SYMPTOM
-from ontospan.operators import evaluate, learn, policy, retrieval, terminology
+from ontospan import config, predict
+from ontospan.operators import evaluate, learn, policy, proposer, retrieval, terminology
 from ontospan.sources import readers, writers
 from ontospan.streaming import notes as streaming
 
@@ -137,3 +138,84 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r.type, r.n) for r in spark.sql("SELECT * FROM counted").collect()] == [(SYMPTOM, 1)]
+
+
+def test_ontology_folder_and_stages(spark, tmp_path):
+    (tmp_path / "rx_names.csv").write_text("rxcui,name,aliases\n5,aspirin 81 mg,asa|acetyl\n6,warfarin,\n")
+    (tmp_path / "icd.txt").write_text("J45 hen phế quản\n")
+    (tmp_path / "other.txt").write_text("X no\n")
+    (tmp_path / "icd2.json").write_text(json.dumps([{"code": "J45", "name": "hen phế quản nặng"}]))
+    rows = readers.read_ontology_folder(spark, str(tmp_path))
+    assert {(r.system, r.code) for r in rows.collect()} == {("RxNorm", "5"), ("RxNorm", "6"), ("ICD10", "J45")} and readers.read_ontology_folder(spark, str(tmp_path / "no")).count() == 0
+    of = lambda system, kind: rows.where(F.col("system") == system).withColumn("concept_type", F.lit(kind)).withColumn("priority", F.lit(1))
+    index = terminology.ontology_index([of("RxNorm", DRUG), of("ICD10", DIAGNOSIS).where("name = 'hen phế quản'"), of("ICD10", DIAGNOSIS).where("name <> 'hen phế quản'")])
+    assert {(r.code, r.name) for r in index.collect()} == {("5", "aspirin 81 mg"), ("6", "warfarin"), ("J45", "hen phế quản nặng")}
+    asked = [(DRUG, "ASA"), (DRUG, "aspirin 81 mg po"), (DRUG, "warfarin 5 mg"), (DIAGNOSIS, "hen phế quản năng x"), (DIAGNOSIS, "gãy tay"), (DRUG, None), (DRUG, "?")]
+    got = {r.text: (r.stage, r.code) for r in terminology.ontology_lookup(spark.createDataFrame(asked, "concept_type string, text string"), index, DRUG).collect()}
+    assert got == {"ASA": ("exact", "5"), "aspirin 81 mg po": ("without_dose", "5"), "warfarin 5 mg": ("without_form", "6"), "hen phế quản năng x": ("fuzzy", "J45")}
+    assert readers.ontology_or(spark, str(tmp_path / "no"), index).count() == 3
+    index.write.parquet(str(tmp_path / "index"))
+    assert readers.ontology_or(spark, str(tmp_path / "index"), index.where("false")).count() == 3
+
+
+def test_likeness_loses_no_pair(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcde ") for _ in range(rng.randint(5, 30))).strip() or "abcde" for _ in range(60)]
+    other = [b[:i] + rng.choice(["", "x", "ab"]) + b[i + rng.choice([0, 1]) :] for b in base for i in (rng.randint(0, len(b)),)]
+    df = lambda xs: spark.createDataFrame([("k", x) for x in set(xs)], "concept_type string, key string")
+    got = {(r.query, r.other) for r in terminology.alike(df(base), df(other), 0.88).collect()}
+    expected = {(a, b) for a in base for b in other if len(a) >= 5 and len(b) >= 3 and SequenceMatcher(None, a, b).ratio() >= 0.88}
+    assert got == expected and len(got) > 20
+
+
+def test_curated_canonical_and_knowledge(spark, kb):
+    lexicon = spark.createDataFrame([(DIAGNOSIS, "khó thở", None, "J45", 3), (DIAGNOSIS, "khó thở", None, "J44", 9), (DIAGNOSIS, "khó thở", None, "J46", 1), (DIAGNOSIS, "khó thở", "short_line", "J46", 2)], "concept_type string, alias_norm string, profile string, code string, file_support long")
+    lexicon = lexicon.withColumn("alias_norm", F.lit("kho tho"))
+    given = spark.createDataFrame([(DIAGNOSIS, "copd", 0, "Z1", 1)], "concept_type string, alias_norm string, rank int, code string, priority int")
+    index, curated, profiles = retrieval.knowledge(kb, given, lexicon, least_files=2)
+    assert [(r.code,) for r in index.where("alias_norm = 'copd'").collect()] == [("Z1",)]
+    assert [r.code for r in curated.orderBy("rank").collect()] == ["J44", "J45"] and [r.codes for r in profiles.collect()] == [["J46"]]
+    asked = spark.createDataFrame([(DIAGNOSIS, "Khó thở"), (DIAGNOSIS, "mắc bệnh suyễn")], "concept_type string, text string")
+    canonical = spark.createDataFrame([("suyen", "hen phe quan")], "alias_norm string, canonical string")
+    hits = retrieval.lookup(asked, kb, curated=curated, canonical=canonical)
+    top = {r.text: (r.code, r.source) for r in hits.where("hit_rank = 1").collect()}
+    assert top == {"Khó thở": ("J44", "curated"), "mắc bệnh suyễn": ("J45", "diagnosis_canonical")}
+    assert {r.text: r.code for r in retrieval.select_codes(hits, kb).collect()} == {"Khó thở": "J44", "mắc bệnh suyễn": "J45"}
+    with_profile = asked.withColumn("profile", F.lit("short_line"))
+    assert {r.text: r.profile_codes for r in retrieval.profile_codes(with_profile, profiles).collect()} == {"Khó thở": ["J46"], "mắc bệnh suyễn": None}
+    assert retrieval.candidate_rows(hits, kb).where("hit_rank = 1 AND record_name IS NULL").count() == 0
+
+
+def test_predict_settings_and_manifest(spark, kb, tmp_path, monkeypatch):
+    lexicon = spark.createDataFrame([("ho", SYMPTOM)], "term string, concept_type string")
+    out = predict.predict_batch(spark, ["Bệnh nhân ho", "không gì"], lexicon, kb)
+    assert [[(c["text"], c["position"]) for c in x] for x in out] == [[("ho", [10, 12])], []]
+    with pytest.raises(ValueError):
+        predict.predict(spark, "", lexicon, kb)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/n1.txt").write_text("ho")
+    assert predict.predict_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), lexicon, kb) == {"notes": 1} and json.loads((tmp_path / "out/n1.json").read_text())[0]["text"] == "ho"
+    monkeypatch.setenv("ONTOSPAN_CHUNK_CHARS", "x")
+    monkeypatch.setenv("ONTOSPAN_REPAIR", "no")
+    assert config.Settings.from_env() == config.Settings(repair_empty_candidates=False)
+    assert config.input_folder(str(tmp_path)).endswith("test_inputs")
+    writers.write_manifest(str(tmp_path / "m.json"), {"n": str(tmp_path / "in/n1.txt")}, {"rows": 1})
+    assert json.loads((tmp_path / "m.json").read_text())["files"]["n"]["sha256"] == readers.checksum(str(tmp_path / "in/n1.txt"))
+    assert writers.status_report({"lexicon": lexicon}).endswith("| lexicon | 1 |")
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    assert readers.read_zipped_lines(spark, str(tmp_path / "bad.zip")).count() == 0
+    assert proposer.cut_off("length", "") and proposer.cut_off(None, "max_tokens reached") and not proposer.cut_off("stop", "max_tokens") and not proposer.healthy("http://127.0.0.1:9/")
+    assert "response_format" not in proposer.chat("m", "p", {}, 5, False)
+
+
+def test_mapping_stats_and_reports(spark):
+    rows = [("t", "a", "x", ["1"], ["1"], ["1"], True, "exact", "f"), ("t", "a", "y", ["2"], [], ["3", "2"], True, "selector_abstain", "f"), ("t", "b", "z", [], [], None, False, "correct_abstain", "g"), ("t", "b", "z", None, ["4"], [], False, "false_positive", "h")]
+    df = spark.createDataFrame(rows, "type string, profile string, text string, expected array<string>, predicted array<string>, hits array<string>, known boolean, outcome string, file string")
+    whole = evaluate.mapping_stats(df, ["type", "profile"]).where("type IS NULL").first()
+    assert (whole.n, whole.hit_1, whole.hit_5, whole.coverage) == (4, 0.5, 1.0, 1.0) and whole.baseline == round(2 / 6, 6) and whole.weighted_jaccard == round(3 / 6, 6)
+    assert [(r.text, r.outcome) for r in evaluate.top_errors(df).collect()] == [("y", "selector_abstain"), ("z", "false_positive")]
+    assert [(r.file, r.weighted_jaccard) for r in evaluate.worst_files(df).collect()] == [("h", 0.0), ("f", 0.5)]
+    assert evaluate.mapping_stats(df.where("false"), ["type"]).count() <= 1

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ontospan.config import DIAGNOSIS, DRUG
 from ontospan.functions.text import normalize_key
 from ontospan.operators import policy, retrieval, terminology
-from ontospan.plans import sql
+from ontospan.plans import rx_sql, sql
 from ontospan.plans.text_queries import INGREDIENT, STOPS, table
 
 
@@ -249,4 +249,6 @@ SQL = {
     "curated_codes": f"SELECT concept_type, alias_norm, rank, code FROM {_CURATED}",
     "curated_hits": f"SELECT m.concept_type, text, code, round(1.65 - 0.025 * min(rank), 4) AS score FROM {_MENTIONS} m JOIN {_CURATED} c ON m.concept_type = c.concept_type AND {_K('text')} = alias_norm GROUP BY 1, 2, 3",
     "profile_codes": f"SELECT concept_type, text, profile, array_to_string(codes, '|') AS codes FROM (SELECT DISTINCT concept_type, c.text, coalesce(note_kind, '?') AS profile, {_K('c.text')} AS alias_norm FROM concepts c JOIN documents d USING (doc_id) WHERE concept_type IN ('{DIAGNOSIS}', '{DRUG}') AND c.text IS NOT NULL) LEFT JOIN (SELECT concept_type, alias_norm, profile, list(code ORDER BY n DESC, code) AS codes FROM {_TRAINED} WHERE profile IS NOT NULL GROUP BY ALL) USING (concept_type, alias_norm, profile)",
+    "drug_hits": rx_sql.DRUG_HITS(f"SELECT code, count(*) AS n_aliases FROM {_INDEX} WHERE concept_type = '{DRUG}' GROUP BY code"),
+    **rx_sql.SQL,
 }

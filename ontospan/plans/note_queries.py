@@ -148,7 +148,7 @@ def cued_conditions(spark, sf):
 
 
 def drug_spans(spark, sf):
-    return proposals.drug_spans(table(spark, sf, "documents"), table(spark, sf, "lexicon"))
+    return proposals.drug_spans(table(spark, sf, "documents"), table(spark, sf, "lexicon")).distinct()
 
 
 def lexicon_proposals(spark, sf):

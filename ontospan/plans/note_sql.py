@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ontospan.config import DIAGNOSIS, DRUG, SYMPTOM, TEST_NAME, TEST_RESULT
-from ontospan.plans import sql
+from ontospan.plans import rx_sql, sql
 from ontospan.plans.text_queries import LINES, NOTE
 
 _K = sql.key
@@ -49,6 +49,7 @@ SQL = {
       WHERE length(t) >= 4 AND NOT (len(string_split(key, ' ')) > 10 AND {_any('key', ['benh nhan', 'khi duoc chuyen', 'khong con cam giac', 'vao khoa dieu tri'])}) AND key NOT IN ('khac', 'tham do', 'va dieu tri', 'hinh anh') AND NOT {_m('key', '^(?:hinh anh|chup x quang|sieu am|ct |mri |dien tam do|ecg|/ tham do|va dieu tri)')}""",
     "known_values": f"""WITH t AS (SELECT DISTINCT f.doc_id, s, e, regexp_extract(text[e + 1:e + 1000], '{_VALUE}', 1) AS sign, regexp_extract(text[e + 1:e + 1000], '{_VALUE}', 2) AS v FROM {_found(TEST_NAME)} f JOIN documents d USING (doc_id) WHERE length(t) >= 3)
       SELECT DISTINCT doc_id, s AS start, e AS "end", '{TEST_NAME}' AS type FROM t WHERE v <> '' UNION SELECT DISTINCT doc_id, e + length(sign), e + length(sign) + length(v), '{TEST_RESULT}' FROM t WHERE v <> ''""",
+    "drug_spans": rx_sql.DRUG_SPANS(_found(DRUG)),
     "contextual_results": f"SELECT f.doc_id, s AS start, e AS \"end\" FROM {_found(TEST_RESULT)} f JOIN documents d USING (doc_id) WHERE {_any(_CTX('s', 'e', 140, 60), _RESULT_CUES)} OR starts_with({_K('t')}, 'nhip xoang')",
     "flags_in_parts": f"""WITH p AS (SELECT DISTINCT a.doc_id, a.s, a.e, a.type, c.structure_role AS role, CASE WHEN c.structure_role IN ('medical_history', 'treatment') THEN 'pre_admission' WHEN c.structure_role = 'present_illness' THEN 'present_illness' ELSE 'document' END AS section, c.start_pos AS first
         FROM (SELECT DISTINCT doc_id, char_position[1] AS s, char_position[2] AS e, concept_type AS type FROM concepts WHERE len(char_position) = 2) a JOIN {_CH} c ON a.doc_id = c.doc_id AND c.start_pos <= a.s AND a.s < c.end_pos),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ontospan.config import ASSERTED, DIAGNOSIS, DRUG, SYMPTOM, TEST_NAME, TEST_RESULT
 from ontospan.operators import assertions, notes, policy, proposals, proposer, spans
 from ontospan.operators import chunking as chunker
-from ontospan.plans import note_sql, sql
+from ontospan.plans import note_sql, role_sql, sql
 from ontospan.plans.text_queries import LINES, NOTE, in_context, table
 
 
@@ -250,4 +250,6 @@ SQL = {
         ok AND CASE WHEN type = '{DRUG}' THEN CASE WHEN {_m('local', assertions.CURRENT_DRUG)} OR {_m(_tail('recent', 180), assertions.CURRENT_DRUG)} THEN false WHEN {_m('local', assertions.PAST_DRUG)} THEN true ELSE {_m(_tail('recent', 450), assertions.PAST_PART)} END
           ELSE {_m('local', assertions.HISTORY)} OR (type = '{DIAGNOSIS}' AND {_m(_tail('recent', 450), assertions.PAST_PART)}) END AS historical FROM c""",
     **note_sql.SQL,
+    **role_sql.SQL,
+    "structural_blocks": role_sql.blocks(_SECTIONS),
 }

@@ -119,12 +119,32 @@ def condition_tokens(key: Column) -> Column:
     return F.filter(F.split(key, " "), lambda x: (F.length(x) >= 2) & ~x.isin(CONDITION_STOPS))
 
 
+@F.pandas_udf(T.IntegerType())
+def _edits_of_many(a: pd.Series, b: pd.Series) -> pd.Series:
+    def one(x, y) -> int | None:
+        if x is None or y is None:
+            return None
+        row = list(range(len(y) + 1))
+        for i, s in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, t in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (s != t))
+        return row[-1]
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
+LETTERS = 35_000  # code points from 0x4E00 on, below the surrogates
+
+
 def token_edits(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two token arrays of together at most 3,000 distinct tokens, each mapped to one character."""
+    """Levenshtein distance of two token arrays, each distinct token mapped to one character; arrays with more distinct tokens than
+    there are such characters are compared in Python."""
     known = F.array_distinct(F.concat(a, b))
+    many = F.size(known) > LETTERS
     letter = lambda t: F.decode(F.unhex(F.hex(F.lit(0x4E00) + F.array_position(known, t).cast("int"))), "UTF-16BE")
-    coded = lambda x: F.array_join(F.transform(x, letter), "")
-    return F.levenshtein(coded(a), coded(b))
+    coded = lambda x: F.array_join(F.transform(F.when(~many, x), letter), "")
+    return F.coalesce(F.levenshtein(coded(a), coded(b)), _edits_of_many(F.when(many, a), F.when(many, b)))
 
 
 def token_score(gold: Column, other: Column) -> Column:

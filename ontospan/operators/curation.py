@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ontospan.operators.spans import greedy
+
 KEY = ["doc_id", "start", "end"]
 
 
@@ -17,14 +19,15 @@ def edited(concepts: DataFrame, edits: DataFrame) -> DataFrame:
     """concepts (doc_id, start, end, type, candidates) after edits (doc_id, start, end, action, type, candidates, edit_no).
 
     The last edit of a place counts: `remove` drops its concepts, `update` changes those there, `add` adds one where nothing
-    overlaps. Edits of places that don't exist, and other actions, change nothing.
+    overlaps, neither a concept nor an earlier `add`. Edits of places that don't exist, and other actions, change nothing.
     """
-    last = edits.where(F.col("action").isin("remove", "update", "add")).groupBy(*KEY).agg(F.max_by(F.struct("action", F.col("type").alias("new_type"), F.col("candidates").alias("new_candidates")), "edit_no").alias("e"))
+    last = edits.where(F.col("action").isin("remove", "update", "add")).groupBy(*KEY).agg(F.max_by(F.struct("action", F.col("type").alias("new_type"), F.col("candidates").alias("new_candidates"), "edit_no"), "edit_no").alias("e"))
     there = concepts.join(last, KEY, "left").where("e IS NULL OR e.action <> 'remove'")
     changed = F.col("e.action") == "update"
     kept = there.select(*KEY, F.when(changed, F.coalesce("e.new_type", "type")).otherwise(F.col("type")).alias("type"), F.when(changed, F.coalesce("e.new_candidates", "candidates")).otherwise(F.col("candidates")).alias("candidates"))
     k, a = kept.select(F.col("doc_id").alias("kd"), F.col("start").alias("ks"), F.col("end").alias("ke")), last.where("e.action = 'add'")
     added = a.join(k, (F.col("doc_id") == F.col("kd")) & (F.col("ks") < F.col("end")) & (F.col("start") < F.col("ke")), "left_anti")
+    added = greedy(added, "doc_id", [F.col("e.edit_no"), F.col("start"), F.col("end")], ["start", "end", "e"])
     return kept.unionByName(added.select(*KEY, F.col("e.new_type").alias("type"), F.col("e.new_candidates").alias("candidates")))
 
 

@@ -29,3 +29,10 @@ def test_heading_only_blocks_join_the_next(spark):
     blocks = notes.structural_blocks(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("start").collect()
     assert [(r.role, text[r.start : r.start + 6]) for r in blocks] == [("question", "Câu hỏ"), ("treatment", "Xét ng"), ("diagnosis", "Chẩn đ")]
     assert all(a.end == b.start for a, b in zip(blocks, blocks[1:])) and blocks[-1].end == len(text)
+
+
+def test_overlapping_adds(spark):
+    concepts = spark.createDataFrame([], "doc_id long, start int, end int, type string, candidates array<string>")
+    edits = [(1, 0, 5, "add", "A", None, 1), (1, 3, 8, "add", "B", None, 2), (1, 8, 9, "add", "C", None, 3), (2, 3, 8, "add", "D", None, 4)]
+    out = curation.edited(concepts, spark.createDataFrame(edits, "doc_id long, start int, end int, action string, type string, candidates array<string>, edit_no int"))
+    assert sorted((r.doc_id, r.type) for r in out.collect()) == [(1, "A"), (1, "C"), (2, "D")]

@@ -123,3 +123,9 @@ def test_characters_that_skip_python_are_in_form(spark):
     got = rows.select("x", visual.consistent_form(F.col("x")).alias("form"), visual.consistent_form(F.col("x"), True).alias("folded")).collect()
     assert all((r.form, r.folded) == (None if r.x is None else visual.consistent(r.x), None if r.x is None else visual.consistent(r.x, True)) for r in got)
     assert {r.x: r.folded for r in got}["Straße"] == "strasse"
+
+
+def test_edits_of_more_tokens_than_letters(spark, monkeypatch):
+    monkeypatch.setattr(T, "LETTERS", 3)
+    rows = spark.createDataFrame([(["a", "b", "c", "d"], ["a", "x", "c"]), (["a"], ["b"]), ([], ["a"]), (None, ["a"])], "a array<string>, b array<string>")
+    assert [r.n for r in rows.select(T.token_edits(F.col("a"), F.col("b")).alias("n")).collect()] == [2, 1, 1, None]

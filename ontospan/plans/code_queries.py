@@ -217,6 +217,26 @@ _plain = lambda k, stops: f"coalesce(nullif(array_to_string(string_split({k}, '
 _ROUTES = "'po', 'iv', 'im', 'sc', 'bid', 'tid', 'qid', 'qam', 'qhs', 'daily', 'prn'"
 _TRAINED = f"(SELECT concept_type, alias_norm, profile, code, count(DISTINCT file) AS n FROM (SELECT concept_type, alias_norm, unnest([NULL, profile]) AS profile, code, file FROM (SELECT DISTINCT concept_id, doc_id, concept_type, {_K('text')} AS alias_norm, unnest(candidates) AS code FROM concepts) JOIN (SELECT doc_id, coalesce(note_kind, '?') AS profile, coalesce(case_id, '?') AS file FROM documents) USING (doc_id)) WHERE alias_norm <> '' GROUP BY ALL HAVING count(DISTINCT file) >= 2)"
 _CURATED = f"(SELECT concept_type, alias_norm, code, row_number() OVER (PARTITION BY concept_type, alias_norm ORDER BY n DESC, code) - 1 AS rank FROM {_TRAINED} WHERE profile IS NULL)"
+_PEN = "CASE source WHEN 'exact' THEN 0.0 WHEN 'drug_unit' THEN 0.005 WHEN 'drug_no_count' THEN 0.015 WHEN 'drug_core' THEN 0.03 WHEN 'drug_no_release_token' THEN 0.04 WHEN 'drug_ingredient' THEN 0.12 WHEN 'drug_context_core' THEN 0.035 WHEN 'drug_context_ingredient' THEN 0.10 WHEN 'diagnosis_core' THEN 0.02 WHEN 'diagnosis_unspecified' THEN 0.03 WHEN 'diagnosis_spelling' THEN 0.04 WHEN 'diagnosis_chronic_shorthand' THEN 0.045 WHEN 'diagnosis_with_benh_prefix' THEN 0.05 ELSE 0.08 END"
+_LONG = lambda c: _sub(c, [(r"\b(man|cap)\b", r"\1 tinh"), (r"\b(man|cap) tinh tinh\b", r"\1 tinh")])
+_UPTO = lambda x: rx_sql._first(x, f"string_split(t, ':')[1] IN ({rx_sql._in(rx_sql.ROUTES + ' ' + rx_sql.FREQUENCIES)}) OR t IN ({rx_sql._in(rx_sql.COUNTS)}) OR regexp_full_match(t, 'q[0-9]+h:?prn?')")
+_VARIANTS = f"""(SELECT concept_type, text, unnest(list_filter(list_transform(vs, lambda v, i: struct_pack(i := i, source := v.source, key := v.key, first := list_position(list_transform(vs, lambda u: u.key), v.key))), lambda v: v.key <> '' AND v.first = v.i)) AS v FROM (
+  SELECT concept_type, text, CASE WHEN concept_type = '{DRUG}' THEN list_transform(list_zip(['exact', 'drug_unit', 'drug_no_count', 'drug_core', 'drug_no_release_token', 'drug_ingredient', 'drug_context_core', 'drug_context_ingredient'], [k, r, nc, core, array_to_string(list_filter(string_split(core, ' '), lambda t: t NOT IN ('xl', 'xr', 'er', 'sr', 'cr', 'extended', 'release')), ' '), {rx_sql._NAME('r')}, ctx, {rx_sql._NAME('ctx')}]), lambda z: struct_pack(source := z[1], key := z[2]))
+    ELSE list_transform(list_zip(['exact', 'diagnosis_core', 'diagnosis_spelling', 'diagnosis_unspecified', 'diagnosis_chronic_shorthand', 'diagnosis_with_benh_prefix'], [k, {_CORE('k')}, {_SPELL('k')}, {_PLAIN('k')}, {_LONG('k')}, 'benh ' || k]), lambda z: struct_pack(source := z[1], key := z[2])) END AS vs
+  FROM (SELECT *, array_to_string({rx_sql._w('r')}[1:{_UPTO('r')} - 1], ' ') AS core, {rx_sql._SETTING('r')} AS ctx, trim(regexp_replace(regexp_replace(r, '\\s+x\\s*\\d+(?:\\s+(?:ngay|day|days))?\\b.*$', '', 'g'), '\\s+', ' ', 'g')) AS nc FROM (SELECT concept_type, text, {_K('text')} AS k, {sql.rx('text')} AS r FROM {_MENTIONS}))))"""
+_stage = lambda k: f"CASE regexp_extract({k}, '\\bgiai doan\\s+(cuoi|[1-5]|i{{1,3}}|iv|v)\\b', 1) WHEN 'cuoi' THEN '5' WHEN 'i' THEN '1' WHEN 'ii' THEN '2' WHEN 'iii' THEN '3' WHEN 'iv' THEN '4' WHEN 'v' THEN '5' ELSE regexp_extract({k}, '\\bgiai doan\\s+(cuoi|[1-5]|i{{1,3}}|iv|v)\\b', 1) END"
+_acuity = lambda k: f"CASE WHEN regexp_matches({k}, '\\bcap(?: tinh)?\\b') THEN 'acute' WHEN regexp_matches({k}, '\\bman(?: tinh)?\\b') THEN 'chronic' ELSE '' END"
+_side = lambda k: f"CASE WHEN regexp_matches({k}, '\\b(?:hai ben|bilateral)\\b') THEN 'both' WHEN regexp_matches({k}, '\\b(?:trai|left)\\b') THEN 'left' WHEN regexp_matches({k}, '\\b(?:phai|right)\\b') THEN 'right' ELSE '' END"
+_kind = lambda k: f"regexp_extract({k}, '\\b(?:type|tip)\\s*([12])\\b', 1)"
+_vague = lambda k: f"regexp_matches({k}, '\\b(?:khong xac dinh|khong dac hieu|unspecified|nos)\\b')"
+_term = lambda f, same, missing, other: f"CASE WHEN {f('q0')} = '' THEN 0 WHEN {f('c0')} = '' THEN {missing} WHEN {f('q0')} = {f('c0')} THEN {same} ELSE {other} END"
+_ADJUST = f"({_term(_stage, 0.16, -0.25, -0.45)} + {_term(_acuity, 0.08, -0.16, -0.30)} + {_term(_side, 0.10, -0.18, -0.35)} + {_term(_kind, 0.10, -0.20, -0.35)} + CASE WHEN {_vague('q0')} THEN CASE WHEN {_vague('c0')} THEN 0.08 ELSE -0.10 END WHEN {_vague('c0')} AND ({_stage('q0')} <> '' OR {_acuity('q0')} <> '' OR {_side('q0')} <> '' OR {_kind('q0')} <> '') THEN -0.08 ELSE 0 END)"
+_VARIANT_HITS = f"""WITH r AS (SELECT concept_type, code, arg_min(record_name, (priority, record_id)) AS n, min(priority) AS p, list_distinct(flatten(list(coalesce(ttys, [])))) AS ttys FROM kb_records GROUP BY 1, 2),
+  f AS (SELECT concept_type, text, code, arg_min(struct_pack(source := v.source, rank := rank), (v.i, rank)) AS x FROM (SELECT concept_type, text, v, v.key AS alias_norm FROM {_VARIANTS}) JOIN {_INDEX} USING (concept_type, alias_norm) GROUP BY 1, 2, 3),
+  h AS (SELECT f.concept_type, text, code, x.source AS source, x.rank AS rank, n, p, ttys FROM f JOIN r USING (concept_type, code)),
+  d AS (SELECT *, {sql.rx('text')} AS q, {sql.rx('n')} AS c FROM h WHERE concept_type = '{DRUG}'), s AS (SELECT concept_type, text, code, source, rank, p, {rx_sql._MATCH} + {rx_sql._TTY} AS extra FROM {rx_sql._SCORED('d')}),
+  g AS (SELECT *, {_SPELL(_K('text'))} AS q0, {_SPELL(_K('n'))} AS c0 FROM h WHERE concept_type <> '{DRUG}'), a AS (SELECT * FROM s UNION ALL SELECT concept_type, text, code, source, rank, p, {_ADJUST} FROM g)
+  SELECT concept_type, text, code, source, round(1 - {_PEN} - least(rank, 20) * 0.01 - least(p, 100) * 0.001 + extra, 4) AS score FROM a"""
 QUERIES = {f.__name__: f for f in (alias_index, inverted_aliases, grouped_records, capped_aliases, alias_support, united_records, token_postings, drug_postings, exact_lookup, variant_hits, lexical_candidates, lexical_likeness, lexical_hits, drug_hits, selected_codes, emitted_codes, ontology_entries, ontology_hits, ontology_equal, compact_records, aliases_by_type, alias_seed, lexicon_aliases, index_counts, curated_codes, profile_codes, curated_hits, candidate_rows)}
 SQL = {
     "alias_index": f"SELECT concept_type, alias_norm, code, priority, rank FROM {_INDEX}",
@@ -249,6 +269,7 @@ SQL = {
     "curated_codes": f"SELECT concept_type, alias_norm, rank, code FROM {_CURATED}",
     "curated_hits": f"SELECT m.concept_type, text, code, round(1.65 - 0.025 * min(rank), 4) AS score FROM {_MENTIONS} m JOIN {_CURATED} c ON m.concept_type = c.concept_type AND {_K('text')} = alias_norm GROUP BY 1, 2, 3",
     "profile_codes": f"SELECT concept_type, text, profile, array_to_string(codes, '|') AS codes FROM (SELECT DISTINCT concept_type, c.text, coalesce(note_kind, '?') AS profile, {_K('c.text')} AS alias_norm FROM concepts c JOIN documents d USING (doc_id) WHERE concept_type IN ('{DIAGNOSIS}', '{DRUG}') AND c.text IS NOT NULL) LEFT JOIN (SELECT concept_type, alias_norm, profile, list(code ORDER BY n DESC, code) AS codes FROM {_TRAINED} WHERE profile IS NOT NULL GROUP BY ALL) USING (concept_type, alias_norm, profile)",
+    "variant_hits": _VARIANT_HITS,
     "drug_hits": rx_sql.DRUG_HITS(f"SELECT code, count(*) AS n_aliases FROM {_INDEX} WHERE concept_type = '{DRUG}' GROUP BY code"),
     **rx_sql.SQL,
 }

@@ -116,6 +116,8 @@ def pigeonhole(typed: DataFrame, reference: DataFrame, limits: Limits = LIMITS)
     """
     most = max([k for _, k in limits], default=0)
     length = F.length("key")
+    tasks = int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, as few bytes take long here
+    typed = typed.repartition(tasks, "kind", "key")
     sized = reference.where(length > 0).select("kind", F.col("key").alias("reference"), length.alias("n"), edits(length, limits).alias("k"))
     longest = min([n for n, k in limits if k > 1], default=1 << 30)  # typed strings beyond it by more than one can't be near a short one
     short = sized.where("k <= 1").select("kind", "reference", F.explode(_shortened(F.col("reference"), F.col("k"))).alias("part"))
@@ -132,10 +134,9 @@ def pigeonhole(typed: DataFrame, reference: DataFrame, limits: Limits = LIMITS)
     probes = probes.withColumn("low", low).withColumn("high", high).where("low <= high").select("*", F.explode(F.sequence("low", "high")).alias("shift"))
     start, size = _segment(F.col("n"), F.col("k"), F.col("i"))
     probes = probes.withColumn("at", start + F.col("shift")).withColumn("size", size).where((F.col("at") >= 1) & (F.col("at") + F.col("size") <= F.col("m") + 1) & (F.col("size") > 0))
-    probes = probes.select("kind", "typed", "n", "i", F.substring("typed", F.col("at"), F.col("size")).alias("segment")).distinct()
+    probes = probes.select("kind", "typed", "n", "i", F.substring("typed", F.col("at"), F.col("size")).alias("segment"))
     pairs = pairs.unionByName(probes.join(refs, ["kind", "n", "i", "segment"]).select("kind", "typed", "reference"))
-    tasks = int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.repartition(tasks, "kind", "typed", "reference").distinct()  # a given number of tasks, as few bytes take long here
+    pairs = pairs.repartition(tasks, "kind", "typed", "reference").distinct()
     return pairs.withColumn("distance", F.levenshtein("typed", "reference")).where(F.col("distance") <= edits(F.length("reference"), limits))
 
 

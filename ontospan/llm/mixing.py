@@ -56,7 +56,7 @@ def source_key(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(consistent_form(source))), r"[\s\-_]+", "_")
 
 
-def fit(cells: list[tuple[str, str, str, float]], shares: dict[str, float], caps: dict[str, int], total: float | None = None, tolerance: float = 1e-9, rounds: int = 1000) -> dict[tuple[str, str, str], float]:
+def fit(cells: list[tuple[str, str, str, float]], shares: dict[str, float], caps: dict[str, int], total: float | None = None, tolerance: float = 1e-6, rounds: int = 200) -> dict[tuple[str, str, str], float]:
     """Weight per cell (source, language, topic, tokens): tokens times weight has the shares of the sources, no weight exceeds its
     source's cap, and languages and topics keep their shares of all tokens as far as both allow.
 

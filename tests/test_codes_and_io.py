@@ -171,6 +171,24 @@ def test_likeness_loses_no_pair(spark):
     assert got == expected and len(got) > 20
 
 
+def test_likeness_at_the_least_ratio_and_spread(spark):
+    # 22 of 25 characters in 7 blocks with 8 runs of three in common, the fewest that a ratio of 0.88 leaves
+    a, b = "abcd1efghij2klmnop3qrstuv", "abcdefg4hijklm5nopqrs6tuv"
+    df = lambda xs: spark.createDataFrame(xs, "concept_type string, key string")
+    left, right = df([("k", a), ("k", a), ("o", a), (None, a), ("k", "abcd"), ("k", "x" * 300)]), df([("k", b), ("k", b), ("p", b), (None, b), ("k", "ab"), ("k", "x" * 300)])
+    found = terminology.alike(left, right, 0.88)
+    assert sorted(tuple(r) for r in found.collect()) == [("k", a, b, 0.88), ("k", "x" * 300, "x" * 300, 1.0)]
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert terminology.alike(left, right.where("false"), 0.88).count() == 0 and terminology.alike(left.where("false"), right, 0.88).count() == 0
+
+
+def test_likeness_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(terminology, "BLOCK_KEYS", 2)
+    df = lambda xs: spark.createDataFrame([("k", x) for x in xs], "concept_type string, key string")
+    keys = ["viem phoi man", "viem phoi nang", "gay xuong tay", "hen phe quan", "suy tim trai"]
+    assert {r.other for r in terminology.alike(df(keys), df(keys), 0.99).collect()} == set(keys)
+
+
 def test_curated_canonical_and_knowledge(spark, kb):
     lexicon = spark.createDataFrame([(DIAGNOSIS, "khó thở", None, "J45", 3), (DIAGNOSIS, "khó thở", None, "J44", 9), (DIAGNOSIS, "khó thở", None, "J46", 1), (DIAGNOSIS, "khó thở", "short_line", "J46", 2)], "concept_type string, alias_norm string, profile string, code string, file_support long")
     lexicon = lexicon.withColumn("alias_norm", F.lit("kho tho"))

@@ -189,6 +189,22 @@ def test_likeness_in_blocks(spark, monkeypatch):
     assert {r.other for r in terminology.alike(df(keys), df(keys), 0.99).collect()} == set(keys)
 
 
+def test_search_is_spread_and_has_no_use_for_its_broadcast(spark, monkeypatch):
+    names = ["viem phoi man tinh", "viem phoi nang", "gay xuong tay", "hen phe quan", "suy tim trai"]
+    rows = [(DIAGNOSIS, f"C{i}", n, None, None, 1, [], [], []) for i, n in enumerate(names)]
+    kb = spark.createDataFrame(rows, "concept_type string, code string, record_name string, name_vi string, name_en string, priority int, aliases array<string>, alias_norms array<string>, ttys array<string>").withColumn("record_id", F.col("code"))
+    docs = terminology.condition_documents(kb, DIAGNOSIS)
+    found = retrieval.preliminary(spark.createDataFrame([(n + "x",) for n in names], "query string"), docs)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = spark.createDataFrame([(DIAGNOSIS, n + "x") for n in names], "concept_type string, text string")
+    hits = lambda: sorted((r.text, r.code, round(r.score, 9)) for r in retrieval.lexical_hits(asked, kb).collect())
+    first = hits()
+    assert {(f"{n}x", f"C{i}") for i, n in enumerate(names)} <= {x[:2] for x in first}
+    monkeypatch.setattr(retrieval, "SMALL_DOCS", 2)
+    assert hits() == first
+    assert policy.looked_at([policy.Rule("r", (), {"line": "a"}, {"wide": "b"})], ()) == {"line", "wide"}
+
+
 def test_curated_canonical_and_knowledge(spark, kb):
     lexicon = spark.createDataFrame([(DIAGNOSIS, "khó thở", None, "J45", 3), (DIAGNOSIS, "khó thở", None, "J44", 9), (DIAGNOSIS, "khó thở", None, "J46", 1), (DIAGNOSIS, "khó thở", "short_line", "J46", 2)], "concept_type string, alias_norm string, profile string, code string, file_support long")
     lexicon = lexicon.withColumn("alias_norm", F.lit("kho tho"))

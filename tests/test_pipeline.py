@@ -1,3 +1,6 @@
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from ontospan.config import DIAGNOSIS, DRUG, SYMPTOM, Settings
@@ -60,3 +63,22 @@ def test_string_ids_and_no_notes(spark):
     named = docs.select(F.lit("n1").alias("doc_id"), "text")
     assert [(r.doc_id, r.text) for r in pipeline.annotated(named, lexicon, kb).collect()] == [("n1", "ho")]
     assert pipeline.annotated(docs.where("false"), lexicon, kb).count() == 0
+
+
+def test_a_note_without_an_answer_is_an_error(spark):
+    docs, lexicon, kb = inputs(spark, {1: "Trả lời: bạn bị suy tim", 2: "Chẩn đoán: suy tim"})
+    whole = proposer.lexicon_proposer({"suy tim": DIAGNOSIS})
+
+    def down(chunks):
+        raise OSError("down")
+
+    for ask, why in (
+        (down, "2 notes .*note 1: failed: down"),
+        (lambda chunks: whole(chunks)[1:], "failed: 0 answers to 1 chunks|failed: 1 answers to 2 chunks"),
+        (lambda chunks: ["" if c["text"].startswith("Trả lời") else a for c, a in zip(chunks, whole(chunks))], "1 notes .*note 1: no_payload"),
+    ):
+        with pytest.raises(RuntimeError, match=why):
+            pipeline.annotated(docs, lexicon, kb, ask)
+    # a rejected mention is an answer, and so is none at all
+    said = lambda quotes: {(r.doc_id, r.text) for r in pipeline.annotated(docs, lexicon, kb, lambda chunks: [json.dumps({"mentions": quotes})] * len(chunks)).collect()}
+    assert said([["suy tim", DIAGNOSIS], ["không có", SYMPTOM]]) == {(1, "suy tim"), (2, "suy tim")} and said([]) == {(2, "suy tim")}
